@@ -12,7 +12,6 @@ Null and blank texts have no tokens, null measures and a share of 0; other colum
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import types as T
 from lectern.llm.encoding import restore
 from lectern.llm.scripts import script_of, units
 from lectern.llm.tokenizers import FOLDER, piece_bpe
+from lectern.session import cut
 
 #: Length of a run that counts as said before: words, and characters of scripts without blanks.
 RUN_WORDS, RUN_CHARS = 3, 8
@@ -70,7 +70,6 @@ def repeated_share(text: str | None) -> float:
     return sum(len(x) for x, s in zip(seq, said) if s) / total
 
 
-_SPLIT = re.compile(r"\s+|(?<=[。！？，、；：])")
 
 
 def _unit_text(text: str) -> str:
@@ -104,3 +103,40 @@ def measures(df: DataFrame, text: str = "text", out: str = "repetition", folder:
             yield pd.DataFrame(rows, columns=_SCHEMA.names)
 
     return df.withColumn(out, run(df[f"`{text}`"]))
+
+
+def bands(measured: DataFrame, out: str = "repetition") -> DataFrame:
+    """Per script: the line of redundancy over log2(tokens), and the bands of fertility and byte share (median, spread) of all texts."""
+    m = measured.select(f"{out}.*").where("n_tokens > 1")
+    x = F.log2("n_tokens")
+    return m.groupBy("script").agg(
+        F.count("*").alias("texts"),
+        F.coalesce(F.regr_slope("redundancy", x), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept("redundancy", x), F.avg("redundancy")).alias("intercept"),
+        F.percentile_approx("chars_per_token", [0.01, 0.5, 0.99], 1000).alias("fertility"),
+        F.percentile_approx("byte_share", [0.01, 0.5, 0.99], 1000).alias("bytes"),
+    )
+
+
+#: Room below the middle of a script's texts within which a text still counts as poor in entropy, in bits.
+SLACK = 0.25
+
+
+def judged(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
+    """Measures of every essay, whether it leaves its script's bands, and whether it repeats itself.
+
+    A text repeats itself if its token entropy is not above what its script and length lead to expect by more than SLACK
+    and two fifths of its readable characters lie in repeated runs. The bands are few rows, one for each script.
+    """
+    m = cut(measures(essays.where("essay_id IS NOT NULL").select("essay_id", "label", "model", "text")).drop("text"))
+    b = F.broadcast(bands(m).withColumnRenamed("script", "band_script"))  # one row for each script
+    j = m.join(b, F.col("repetition.script") == F.col("band_script"), "left").drop("band_script")
+    surplus = F.col("repetition.redundancy") - (F.col("intercept") + F.col("slope") * F.log2("repetition.n_tokens"))
+    j = j.withColumn("surplus", F.when(F.col("repetition.n_tokens") > 1, surplus))
+    poor = F.coalesce(F.col("surplus"), F.lit(-1e9)) >= -SLACK
+    return j.select(
+        "essay_id", "label", "model", "repetition.*", "surplus",
+        (~F.col("repetition.chars_per_token").between(F.col("fertility")[0], F.col("fertility")[2])).alias("odd_fertility"),
+        (~F.col("repetition.byte_share").between(F.col("bytes")[0], F.col("bytes")[2])).alias("odd_bytes"),
+        (poor & (F.col("repetition.repeated_share") >= SHARE)).alias("repeats"),
+    )
