@@ -136,6 +136,7 @@ _ACC_UP = "À-ÖØ-ÞŠŽŸŒ"
 _LOW = "a-zß-öø-ÿšžœ"
 _ODD = "‰ƒˆ˜¤¦§¨©¬®¯±³´µ¶¸¹¼½¾×÷†‡‹›₧⌐∞≤≥≈∆◊ⁿΘ"
 _CYR_LIKE = "аеорсухіѕјԁԛԝӏһѵёїАВЕКМНОРСТУХІЅЈЁЇҮЗ"
+_CONSONANTS = "бвгджзйклмнпрстфхцчшщъьБВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ"
 #: Places where no intended character stands: each is one sign of a wrong page.
 SIGNS = {
     "replacement": re.compile("�"),
@@ -145,6 +146,7 @@ SIGNS = {
     "box": re.compile("[─-▟][A-Za-zÀ-ɏЀ-џ─-▟ -¿]|[A-Za-zÀ-ɏЀ-џ][─-▟]"),
     "high_run": re.compile("(?<![¡-ÿ])[¢-ª¬-º¼-¾À-ÿ][¡-ÿ]{3,}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{3,}\\s+[À-ÿ]{3,}(?![A-Za-z])"),
     "swapped_case": re.compile("(?<![А-ЯЁ])[а-яё][А-Я]{2,}"),
+    "no_vowels": re.compile(f"(?<![А-яЁё])[{_CONSONANTS}]{{3,}}\\s+[{_CONSONANTS}]{{4,}}(?![А-яЁё])"),
     "mixed_script": re.compile(f"[bdf-hk-nq-rt-wz](?![{_CYR_LIKE}])[Ѐ-џҐґ][a-z]|[a-z](?![{_CYR_LIKE}])[Ѐ-џҐґ][bdf-hk-nq-rt-wz]"),
 }
 _ANY = re.compile("|".join(f"(?:{r.pattern})" for r in SIGNS.values()))
