@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component) for every node of an edge; the component is its smallest node. Loops and repeated edges do no harm.
 
     Every round is cut off in the shared folder; only two sums reach the driver. Neighbour minima are aggregated before
-    the shuffle, so a node with very many neighbours is one more key.
+    the shuffle; where one node has a great part of all edges, the sort-merge join with its minimum is split by the adaptive
+    skew join, which a round's single row for each node allows.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -35,10 +36,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = lookup(both.where("v > u"), low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every node points to its smallest neighbour, and so do its other smaller neighbours
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lookup(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = cut(small.distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
