@@ -48,10 +48,14 @@ def _repeated(grams: Column, count: Column) -> Column:
 
 
 def char_repetition(s: Column, n: int = 3) -> Column:
-    bare = F.regexp_replace(s, f"[{WS}]+", "")
-    size = F.length(bare)
-    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1), F.lit(1)), lambda i: F.substring(bare, i, F.lit(n))))
-    return _repeated(grams, F.when(size >= n, size - (n - 1)).otherwise(0))
+    """Over the text without white space, which is bound once: inside the inner function it would be computed for every gram."""
+
+    def grams(bare: Column) -> Column:
+        size = F.length(bare)
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1), F.lit(1)), lambda i: F.substring(bare, i, F.lit(n))))
+
+    bound = F.transform(F.array(F.regexp_replace(s, f"[{WS}]+", "")), grams)[0]
+    return F.transform(F.array(bound), lambda g: _repeated(g, F.coalesce(F.nullif(F.size(g), F.lit(-1)), F.lit(0))))[0]
 
 
 def word_repetition(t: Column) -> Column:

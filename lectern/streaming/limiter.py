@@ -48,16 +48,22 @@ def admit(hits: DataFrame, key: str = "client_key", time: str = "now_s", order:
     h = _quiet_runs(h, key, time, order, window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, live = None, []
+        at, live, lo = None, [], 0
         for pdf in batches:
-            out = []
-            for name, part in pdf.groupby([key, "__run"], sort=False):
+            allowed, remaining = [], []
+            for name, t in zip(zip(pdf[key], pdf["__run"]), pdf[time].tolist()):
                 if name != at:
-                    at, live = name, []
-                done, live = fold(part[time].tolist(), limit, window, live)
-                out.append(pd.DataFrame({order: part[order], key: part[key], time: part[time], "allowed": [a for a, _ in done], "remaining": np.array([r for _, r in done], np.int32), "reset_s": np.floor(part[time]).astype("int64") + int(window)}))
-            if out:
-                yield pd.concat(out)
+                    at, live, lo = name, [], 0
+                lo = bisect_right(live, t - window, lo)
+                n = len(live) - lo
+                allowed.append(n < limit)
+                remaining.append(max(0, limit - n - 1))
+                if n < limit:
+                    live.append(t)
+                    if lo > limit:  # what has left the window goes
+                        del live[:lo]
+                        lo = 0
+            yield pd.DataFrame({order: pdf[order], key: pdf[key], time: pdf[time], "allowed": np.array(allowed, bool), "remaining": np.array(remaining, np.int32), "reset_s": np.floor(pdf[time]).astype("int64") + int(window)})
 
     kinds = dict(hits.dtypes)
     schema = f"{order} {kinds[order]}, {key} {kinds[key]}, {time} {kinds[time]}, allowed boolean, remaining int, reset_s bigint"
