@@ -173,24 +173,22 @@ def _stretches(shown: str, double: bool) -> re.Pattern:
 _DOUBLE = ("shift_jis", "euc_jp", "gbk", "big5")
 
 
-def _through(text: str, shown: str, written: str, every: bool) -> str | None:
+def _through(text: str, shown: str, written: str, every: bool) -> list[tuple[int, int, str]] | None:
     """Stretches (every one, or those that touch a sign) taken as bytes of one page and read in the other; None if not well-formed."""
     page = _PAGES[shown] if shown in _PAGES else _PAGES.setdefault(shown, _Bytes(shown))
-    out, at = [], 0
+    out = []
     for m in _STRETCH[shown, written in _DOUBLE].finditer(text):
-        word = m.group()
         if not every and not _ANY.search(text, max(0, m.start() - 1), min(len(text), m.end() + 1)):
             continue
-        raw = word.translate(page).encode("latin-1")
+        raw = m.group().translate(page).encode("latin-1")
         try:
             new = raw.decode(written)
         except UnicodeDecodeError:
-            if not written in _DOUBLE:
+            if written not in _DOUBLE:
                 return None
             new = raw.decode(written, "replace")
-        out += [text[at : m.start()], new]
-        at = m.end()
-    return "".join([*out, text[at:]]) if out else None
+        out.append((m.start(), m.end(), new))
+    return out
 
 
 _STRETCH = {(a, d): _stretches(a, d) for a in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866") for d in (False, True)}
@@ -201,6 +199,19 @@ def _damage(text: str) -> int:
     return signs(text) + sum(1 for c in text if c > "\x7f" and not _ALONE.match(c) and not _IN_WORDS.match(c))
 
 
+def other_page(text: str) -> tuple[list[tuple[int, int, str]], str]:
+    """The stretches that another page reads with least damage, and that page; none if no page does better than none."""
+    best, page, least = [], "", _damage(text)
+    for shown, written in PAIRS:
+        for every in (False, True):
+            spans = _through(text, shown, written, every)
+            if spans:
+                n = _damage(_apply(text, spans))
+                if n < least:
+                    best, page, least = spans, written, n
+    return best, page
+
+
 def restore(text: str | None) -> tuple[str | None, bool, int]:
     """(text with every recoverable span decoded, whether anything was garbled, signs left that cannot be undone)."""
     if not text or not text.strip() or text.isascii():
@@ -211,19 +222,10 @@ def restore(text: str | None) -> tuple[str | None, bool, int]:
         if not spans:
             break
         hit, text = True, _apply(text, spans)
-    left = signs(text)
-    if not left:
+    if not signs(text):
         return text, hit, 0
-    best, least = text, _damage(text)
-    for shown, written in PAIRS:
-        for every in (False, True):
-            new = _through(text, shown, written, every)
-            if new is None or new == text:
-                continue
-            n = _damage(new)
-            if n < least:
-                best, least = new, n
-    return best, True, signs(best)
+    text = _apply(text, other_page(text)[0])
+    return text, True, signs(text)
 
 
 def garbling(df: DataFrame, text: str = "text", out: str = "garbling") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.encoding import repair_spans
+from lectern.llm.encoding import other_page, repair_spans, signs
 from lectern.llm.lookalike import BLANKS, INVISIBLE, LOOKALIKES
 from lectern.llm.scripts import script_of
 
@@ -65,16 +65,19 @@ def working(text: str) -> tuple[str, list[int] | None]:
     if text.isascii():
         return text, None
     at: list[int] | None = None
-    for _ in range(3):
-        spans = repair_spans(text)
+    for step in range(4):
+        spans, page = (repair_spans(text), "utf-8") if step < 3 else (other_page(text) if signs(text) else ([], ""))
         if not spans:
-            break
+            continue
         at = at or list(range(len(text) + 1))
         parts, new, k = [], [], 0
         for s, e, r in spans:
             parts += [text[k:s], r]
             new += at[k:s]
-            new += [at[min(e - 1, s + i * (e - s) // len(r))] for i in range(len(r))]
+            p = s
+            for c in r:  # every character comes from as many characters as it has bytes in the page it was written in
+                new.append(at[min(p, e - 1)])
+                p += len(c.encode(page)) if c != "\ufffd" or page == "utf-8" else 1
             k = e
         parts.append(text[k:])
         new += at[k:]
