@@ -13,7 +13,7 @@ from lectern.operators.passages import build_passages, mattr, mtld
 from lectern.operators.sentences import split_sentences
 from lectern.plans import sql
 from lectern.plans.text_queries import LEXICAL, ORDINALS, _MATTR, _pass
-from lectern.session import read_table
+from lectern.session import cut, read_table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -127,7 +127,8 @@ _SIGNALS = f"""WITH {_BASE}, {_DOCB}, {sql.sentences('d2')}, {sql.featured()}, {
 def reference(spark: SparkSession, d: str) -> DataFrame:
     e, _, v = human_values(spark, d)
     enough = e.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") >= _FEW).select("bucket")
-    return bl.bucket_stats(v).join(F.broadcast(enough), "bucket")  # at most four rows
+    stats = bl.bucket_stats(v).join(F.broadcast(enough), "bucket")  # at most four rows
+    return cut(stats)  # read for the buckets and for the scores; four buckets times the features
 
 
 def bucketed_docs(spark: SparkSession, d: str, base: DataFrame) -> DataFrame:
