@@ -17,8 +17,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 from lectern.llm.encoding import restore
 from lectern.llm.repetition import SHARE, repeated_share
 from lectern.llm.scripts import is_unspaced, script_of
-from lectern.llm.sentences import FINAL_ABBREVIATIONS, NUMBER_ABBREVIATIONS, OPEN_ABBREVIATIONS, working
+from lectern.llm.sentences import FINAL_ABBREVIATIONS, OPEN_ABBREVIATIONS, working
+from lectern.llm.sketch import has, sketch
 from lectern.session import cut
 
 #: Neighbouring lengths on each side, false-discovery rate, and the surplus a limit must show at least.
@@ -75,13 +78,42 @@ def _template(kinds: list[str]) -> str:
     return " ".join(k for i, k in enumerate(kinds) if not (k == "X" and i and kinds[i - 1] == "X"))
 
 
-def corpus_counts(t: str) -> Counter:
+class Asked:
+    """Which keys are asked for at all, by a sketch of fixed size that errs to the safe side; answers for words are kept."""
+
+    def __init__(self, sketch: np.ndarray | None = None, bits: int = 0):
+        self.sketch, self.bits, self.words = sketch, bits, {}
+
+    def has(self, keys: list[str]) -> np.ndarray:
+        if self.sketch is None:
+            return np.ones(len(keys), bool)
+        return has(self.sketch, self.bits, np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in keys], np.uint64))
+
+    def word(self, w: str) -> tuple[bool, bool, bool]:
+        """Whether a word is asked for as a last word, as what a cut word may have been, and as the word before."""
+        got = self.words.get(w)
+        if got is None:
+            if len(self.words) > 500_000:
+                self.words.clear()
+            ahead = [f"f|{w[:m]}" for m in range(1, min(len(w), 7))] if w.isalpha() else []
+            y = self.has([f"u|{w}", f"v|{w}", *ahead])
+            got = self.words[w] = (bool(y[0]), bool(y[2:].any()), bool(y[1]))
+        return got
+
+    def pair(self, c: str) -> bool:
+        got = self.words.get("\0" + c)
+        if got is None:
+            got = self.words["\0" + c] = bool(self.has([f"c2|{c}"])[0])
+        return got
+
+
+def corpus_counts(t: str, asked: Asked) -> Counter:
     """Of one text: every word (or characters of unspaced scripts) in context, whether a sentence ends there; starts of lines."""
     out: Counter = Counter()
     if is_unspaced(t):
         ends = {m.start() for m in re.finditer(r"[。！？…!?]|\s+(?=[^\d\s])" if script_of(t) == "thai" else "[。！？…!?]", t)}
         for i in range(2, len(t)):
-            if not t[i - 1].isspace():
+            if not t[i - 1].isspace() and asked.pair(t[max(0, i - 2) : i]):
                 for k in _chars(t, i):
                     out[k, i in ends] += 1
         return out
@@ -90,27 +122,39 @@ def corpus_counts(t: str) -> Counter:
     n = len(toks)
     for i, w in enumerate(toks):
         if not (w[0].isalnum() or w[0] == "_"):
-            if _STOPS.match(w) or w[0] == "\n":
+            if w[0] in ".!?…。！？।؟\n":
                 words = []
             continue
         words.append(w)
-        nxt = toks[i + 1] if i + 1 < n else ""
+        if i + 1 == n:
+            continue  # the text's own end is what is to be judged
+        low = _norm(w)
+        last, cut_, _ = asked.word(low)
+        a = _norm(words[-2]) if len(words) > 1 else "<s>"
+        before = asked.word(a)[2]
+        if not (last or cut_ or before):
+            continue
+        nxt = toks[i + 1]
         stop = False
-        if _STOPS.match(nxt):
+        if nxt[0] in ".!?…。！？।؟":
             k = i + 2
             while k < n and toks[k] in "\"”»’)“":
                 k += 1
             stop = k >= n or toks[k][0] == "\n" or not toks[k][0].islower()
-            if nxt[0] == "." and w.lower() in OPEN_ABBREVIATIONS:
+            if nxt[0] == "." and low in OPEN_ABBREVIATIONS:
                 stop = False
-        elif i + 1 == n:
-            continue  # the text's own end is what is to be judged
-        for key in _contexts(words, len(words) - 1):
-            out[key, stop] += 1
-        out["u|" + w.lower(), False] += 1
+        k4, k3, k2, k1 = _contexts(words, len(words) - 1)
+        if last:
+            out[k4, stop] += 1
+            out["u|" + low, False] += 1
+        if last or cut_:
+            out[k3, stop] += 1
+        if before:
+            out[k2, stop] += 1
+        out[k1, stop] += 1
     lines = [x.strip() for x in t.split("\n") if x.strip()]
     for j, line in enumerate(lines):
-        ws = _kinds(_TOKENS.findall(line)[:12])
+        ws = _kinds(_TOKENS.findall(line[:400])[:12])
         for k in range(1, min(len(ws), 10)):
             if not ws[k - 1] == ws[k] == "X":
                 out["l|" + _template(ws[:k]), False] += 1
@@ -165,9 +209,11 @@ def _tail(text: str | None) -> tuple:
     if unspaced:
         keys = [*_chars(body, len(body))]
     else:
-        keys = [*_contexts(words, len(words) - 1), "u|" + words[-1].lower()] if words else []
+        keys = [*_contexts(words, len(words) - 1), "u|" + _norm(words[-1])] if words else []
         if words and words[-1].isalpha() and words[-1].islower() and len(words[-1]) < 7:
-            keys.append(f"p|{_norm(words[-2]) if len(words) > 1 else '<s>'}|{words[-1]}")
+            keys += [f"p|{_norm(words[-2]) if len(words) > 1 else '<s>'}|{words[-1]}", f"f|{words[-1]}"]
+        if words:
+            keys.append(f"v|{_norm(words[-2]) if len(words) > 1 else '<s>'}")
     line_tokens = _TOKENS.findall(last)
     line = "l|" + _template(_kinds(line_tokens)) if own and len(line_tokens) <= 9 else None
     names = [w for w in line_tokens if w[0].isalnum()]
@@ -207,11 +253,15 @@ def tail(text: str | None) -> tuple:
 _COUNTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ends", T.LongType())])
 
 
-def context_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n, ends) over all texts, counted within each partition before the shuffle."""
+def context_counts(texts: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
+    """(key, n, ends) over all texts for the keys asked (a column key), counted within each partition before the shuffle."""
+    n = keys.count()
+    bits = int(min(26, max(16, (64 * n + 1).bit_length())))
+    shared = texts.sparkSession.sparkContext.broadcast(sketch(keys.select(F.xxhash64("key").alias("key")), bits))  # 2 ** bits bits, at most 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
+        asked = Asked(shared.value, bits)
 
         def flush():
             both: dict[str, list[int]] = {}
@@ -219,20 +269,23 @@ def context_counts(texts: DataFrame, text: str = "text") -> DataFrame:
                 x = both.setdefault(k, [0, 0])
                 x[0] += v
                 x[1] += v * e
+            c.clear()
             for k, v in [*both.items()]:  # what a cut word may have been: beginnings of the words seen after its predecessor
                 if k[0] == "3":
                     _, a, b = k.split("|", 2)
                     if b.isalpha():
                         for m in range(1, min(len(b), 7)):
                             both.setdefault(f"p|{a}|{b[:m]}", [0, 0])[0] += v[0]
-            c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both.keys(), pa.string()), pa.array([x[0] for x in both.values()], pa.int64()), pa.array([x[1] for x in both.values()], pa.int64())], names=_COUNTS.names)
+            names = [*both]
+            wanted = asked.has(names) if names else np.zeros(0, bool)
+            names = [k for k, y in zip(names, wanted) if y]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([both[k][0] for k in names], pa.int64()), pa.array([both[k][1] for k in names], pa.int64())], names=_COUNTS.names)
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and t.strip():
-                    c.update(corpus_counts(working(restore(t)[0])[0].rstrip()))
-                    if len(c) > 400_000:
+                    c.update(corpus_counts(working(restore(t)[0])[0].rstrip(), asked))
+                    if len(c) > 300_000:
                         yield flush()
         yield flush()
 
@@ -304,8 +357,8 @@ def endings(essays: DataFrame) -> DataFrame:
     limits = length_hazards(e.where("kind NOT IN ('blank', 'repeats')")).where("significant").select("limiter", "unit", F.lit(True).alias("at_limit"))
     e = e.join(limits, ["limiter", "unit"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
 
-    asked = e.where("kind IN ('none', 'ellipsis', 'comma', 'doubtful')").select("essay_id", F.posexplode(F.array_compact(F.concat("keys", F.array("line")))).alias("i", "key"))
-    counts = context_counts(essays.where("essay_id IS NOT NULL").dropDuplicates(["essay_id"]))
+    asked = cut(e.where("kind IN ('none', 'ellipsis', 'comma', 'doubtful')").select("essay_id", F.posexplode(F.array_compact(F.concat("keys", F.array("line")))).alias("i", "key")))
+    counts = context_counts(essays.where("essay_id IS NOT NULL"), asked.select("key").distinct())
     seen = asked.join(counts, "key", "left")
     level = lambda p: F.max(F.when(F.col("key").startswith(p), F.struct("n", "ends")))
     known = seen.groupBy("essay_id").agg(level("4|").alias("k4"), level("3|").alias("k3"), level("2|").alias("k2"), level("1|").alias("k1"), level("c5|").alias("c5"), level("c3|").alias("c3"), level("c2|").alias("c2"), level("u|").alias("u"), level("l|").alias("l"), level("p|").alias("longer"))
