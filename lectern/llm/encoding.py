@@ -203,7 +203,7 @@ def other_page(text: str) -> tuple[list[tuple[int, int, str]], str]:
     """The stretches that another page reads with least damage, and that page; none if no page does better than none."""
     best, page, least = [], "", _damage(text)
     for shown, written in PAIRS:
-        for every in (False, True):
+        for every in (True, False):
             spans = _through(text, shown, written, every)
             if spans:
                 n = _damage(_apply(text, spans))

@@ -45,6 +45,8 @@ _WORD_OPENERS = re.compile(
     r"(?:The|My|In|On|I|I'm|I’m|We|It|At|By|That|There|After|Before|Then|When|Why|What|Our|His|Her|Every|Under|For|Between|Without|With|Somewhere|Nobody|Back|To|As|Have|Dr|Mr|Ms|Der|Die|Das|Ich|Wir|Am|Nach|Warum|Welch|Ohne|Manche|Meine|Le|La|Les|Un|Une|Mon|Ma|Mes|Je|J'|Dans|Selon|Pourquoi|Quelle?|Cette|El|Los|Una|Mi|Pensé|Pasé|Aprendí|Según|Algunas|Vivió|"
     r"Мой|Моя|Я|Мы|Какая|Почему|Без|В|Эта|Некоторые|Цена|Проф)(?=[\s.'’])"
 )
+# Words with which a phrase opens that a sentence without commas goes on after.
+_LEAD_IN = re.compile(r"(?:To|After|Between|Under|In|On|At|By|That|Every|With|Without|For|As|Halfway|Somewhere|Back|Years|Against|More|Before)\b")
 _TERMINAL = re.compile(r"(?:[.!?]+|[…]+|[。！？｡．]+|[؟۔]+|[।॥]+)(?:[.!?…。！？؟।]*)[\"”“»«’')\]」』）】〉》]*")
 _THAI = "฀-๿"
 _CLOSE = "\"”“»«’')]」』）】〉》"
@@ -266,10 +268,14 @@ def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool,
             if end > lo and end not in cand and start < hi and t[end - 1] not in "\n" and t[start] != "\n":
                 cand[end] = (start, -9.0 if inside(end) else _thai(t, end, start))
     if sparse:
+        since = lo
         for m in re.finditer(r"\s+", t[lo:hi]):
             end, start = lo + m.start(), lo + m.end()
             if end > lo and end not in cand and start < hi and t[end - 1].isalnum() and _WORD_OPENERS.match(t, start):
-                cand[end] = (start, 1.2)
+                lead = t[since:end]
+                wait = t[start] == "I" and len(lead.split()) <= 8 and _LEAD_IN.match(lead)
+                cand[end] = (start, -1.0 if wait else 1.2)
+                since = since if wait else start
     marks = sorted(e for e in cand if lo < e < hi)
     ends = [*marks, hi]
     starts = [lo, *(cand[e][0] for e in marks)]
