@@ -104,6 +104,8 @@ def canonical(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame
             if isinstance(f, pa.ChunkedArray):
                 f = f.chunk(0) if f.num_chunks else pa.array([], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, f.cast(pa.string())], names=[*inner, "f"])
+        if con:
+            con.close()
 
     done = df.select([df[f"`{c}`"].alias(n) for n, c in zip(inner, keep)]).mapInArrow(run, schema)
     return done.select([F.col(n).alias(c) for n, c in zip(inner, keep)] + [F.col("f").alias(out)])
