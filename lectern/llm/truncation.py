@@ -26,7 +26,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.encoding import restore
 from lectern.llm.repetition import SHARE, repeated_share
 from lectern.llm.scripts import is_unspaced, script_of
 from lectern.llm.sentences import FINAL_ABBREVIATIONS, OPEN_ABBREVIATIONS, working
@@ -181,8 +180,7 @@ def _tail(text: str | None) -> tuple:
     """(kind of ending, contexts of its last word, template of a last line of its own, whether that is a signature, length)."""
     if not text or not text.strip():
         return ("blank", [], None, False, False, 0)
-    t = restore(text)[0]
-    t = working(t)[0].rstrip()
+    t = working(text)[0].rstrip()
     n = len(text.rstrip())
     if not t:
         return ("blank", [], None, False, False, 0)
@@ -284,7 +282,7 @@ def context_counts(texts: DataFrame, keys: DataFrame, text: str = "text") -> Dat
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and t.strip():
-                    c.update(corpus_counts(working(restore(t)[0])[0].rstrip(), asked))
+                    c.update(corpus_counts(working(t)[0].rstrip(), asked))
                     if len(c) > 300_000:
                         yield flush()
         yield flush()
