@@ -109,6 +109,25 @@ def test_overlaps_are_all_found(spark):
     assert overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_apart_from_case_of_any_script(spark):
+    """Copies made here, so nothing is asked of words()."""
+    texts = {
+        "ru": "Мой сосед Сабарин живёт в новом доме у реки, но вот там нет тепла и ему тяжело",
+        "el": "Ήταν μια νύχτα γεμάτη αστέρια και ο Νίκος έγραφε στην Ύδρα για τους φίλους του",
+        "de": "Die Straße lag weiß und groß vor dem Fluß, dreißig Füße tief floß er heiß vorbei",
+        "ce": "Ӏуьйре хьалхе гӀуллакх дика ду цӀа вогӀу нохчийн мотт хӀара стаг",
+    }
+    bare = {"el": "Ηταν μια νυχτα γεματη αστερια και ο Νικος εγραφε στην Υδρα για τους φιλους του"}
+    spoof = "Νobody Κnew Τhe Нouse Вy Мy Тown Νor Ηow Υou Κeep Ιt"
+    plain = "Nobody Knew The House By My Town Nor How You Keep It"
+    other = "vobody knew the house by my town vor how uou keep it"
+    rows = [(f"{k}0", t, "train") for k, t in texts.items()] + [(f"{k}1", t.upper(), "val") for k, t in texts.items()] + [(f"{k}2", t.upper(), "test") for k, t in bare.items()]
+    rows += [("x0", spoof, "train"), ("x1", plain.lower(), "val"), ("x2", "never vine nine never vine nine vat", "train"), ("x3", "vever nine vine vever nine vine nat", "val"), ("x4", other, "test")]
+    df = spark.createDataFrame(rows, "essay_id string, text string, split string").selectExpr("*", "'s' AS source", "NULL AS model")
+    got = {(r["train_id"], r["eval_id"]) for r in overlaps(df).collect()}
+    assert got == {(f"{k}0", f"{k}1") for k in texts} | {("el0", "el2"), ("x0", "x1")}
+
+
 # --- packing and mixing ----------------------------------------------------------------------------------------------------------
 
 
