@@ -1,10 +1,11 @@
 """Problem 2: repetition inside a single document.
 
 A public tokenizer with byte fallback measures every text: characters per token (fertility), share of tokens that fall
-back to bytes, entropy of the tokens and how far it stays below what a text of so many tokens could have. Bands for
-these come from all texts of a script (median and spread), and a text outside them is rejected. Token entropy alone does
-not tell a text that says little twice from one that says two fifths of it again, so the share itself is measured on
-the texts whose entropy is low for their script: the readable units that lie in a run seen earlier in the text.
+back to bytes, entropy of the tokens and how far it stays below what a text of so many tokens could have. Each script has a line
+of this redundancy over the length, fitted on its texts that hardly repeat, and bands of the others; where a text lies is
+reported. Token entropy does not tell a text that says little twice from one that says two fifths of it again, so it
+decides nothing: the share itself is measured on every text, the readable units that lie in a run seen earlier in the
+text, and whether an essay is a case does not depend on the other essays.
 
 Null and blank texts have no tokens, null measures and a share of 0; other columns pass through; texts are read whole.
 """
@@ -29,6 +30,8 @@ from lectern.session import cut
 RUN_WORDS, RUN_CHARS = 3, 8
 #: The share of readable text from which a document repeats itself.
 SHARE = 0.4
+#: Texts from this share on do not count for the line of their script's redundancy.
+PLAIN = 0.2
 
 _SCHEMA = T.StructType(
     [
@@ -106,37 +109,33 @@ def measures(df: DataFrame, text: str = "text", out: str = "repetition", folder:
 
 
 def bands(measured: DataFrame, out: str = "repetition") -> DataFrame:
-    """Per script: the line of redundancy over log2(tokens), and the bands of fertility and byte share (median, spread) of all texts."""
+    """Per script: the line of redundancy over log2(tokens) of texts that hardly repeat (null if there is none), and the bands of fertility and byte share (1 %, middle, 99 %) of all texts."""
     m = measured.select(f"{out}.*").where("n_tokens > 1")
-    x = F.log2("n_tokens")
+    plain = F.col("repeated_share") < PLAIN
+    x, redundancy = F.when(plain, F.log2("n_tokens")), F.when(plain, F.col("redundancy"))
     return m.groupBy("script").agg(
         F.count("*").alias("texts"),
-        F.coalesce(F.regr_slope("redundancy", x), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("redundancy", x), F.avg("redundancy")).alias("intercept"),
+        F.coalesce(F.regr_slope(redundancy, x), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept(redundancy, x), F.avg(redundancy)).alias("intercept"),
         F.percentile_approx("chars_per_token", [0.01, 0.5, 0.99], 1000).alias("fertility"),
         F.percentile_approx("byte_share", [0.01, 0.5, 0.99], 1000).alias("bytes"),
     )
 
 
-#: Room below the middle of a script's texts within which a text still counts as poor in entropy, in bits.
-SLACK = 0.25
-
-
 def judged(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
     """Measures of every essay, whether it leaves its script's bands, and whether it repeats itself.
 
-    A text repeats itself if its token entropy is not above what its script and length lead to expect by more than SLACK
-    and two fifths of its readable characters lie in repeated runs. The bands are few rows, one for each script.
+    A text repeats itself if two fifths of its readable characters lie in repeated runs. The bands are few rows, one for
+    each script.
     """
     m = cut(measures(essays.where("essay_id IS NOT NULL").select("essay_id", "label", "model", "text")).drop("text"))
     b = F.broadcast(bands(m).withColumnRenamed("script", "band_script"))  # one row for each script
     j = m.join(b, F.col("repetition.script") == F.col("band_script"), "left").drop("band_script")
     surplus = F.col("repetition.redundancy") - (F.col("intercept") + F.col("slope") * F.log2("repetition.n_tokens"))
     j = j.withColumn("surplus", F.when(F.col("repetition.n_tokens") > 1, surplus))
-    poor = F.coalesce(F.col("surplus"), F.lit(-1e9)) >= -SLACK
     return j.select(
         "essay_id", "label", "model", "repetition.*", "surplus",
         (~F.col("repetition.chars_per_token").between(F.col("fertility")[0], F.col("fertility")[2])).alias("odd_fertility"),
         (~F.col("repetition.byte_share").between(F.col("bytes")[0], F.col("bytes")[2])).alias("odd_bytes"),
-        (poor & (F.col("repetition.repeated_share") >= SHARE)).alias("repeats"),
+        (F.col("repetition.repeated_share") >= SHARE).alias("repeats"),
     )

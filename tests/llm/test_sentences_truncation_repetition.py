@@ -117,6 +117,16 @@ def test_judged(spark):
     assert judged(df.limit(0)).count() == 0
 
 
+def test_other_texts_do_not_decide(spark):
+    rng = random.Random(3)
+    half = [(t := random_text(rng, 60)) + " " + " ".join(t.split()[:50]) for _ in range(10)]
+    plain, loops = [random_text(rng, rng.randint(80, 140)) for _ in range(20)], ["come to our shop today " * rng.randint(40, 160) for _ in range(30)]
+    rows = [(f"{k}{i}", t) for k, texts in (("h", half), ("n", plain), ("s", loops)) for i, t in enumerate(texts)]
+    out = {r["essay_id"]: r for r in judged(spark.createDataFrame([(i, "human", None, t) for i, t in rows], "essay_id string, label string, model string, text string")).collect()}
+    assert {i for i, r in out.items() if r["repeats"]} == {i for i in out if i[0] in "hs"}
+    assert all(abs(r["surplus"]) < 0.2 for i, r in out.items() if i[0] == "n")
+
+
 # --- truncation ------------------------------------------------------------------------------------------------------------
 
 
