@@ -207,8 +207,9 @@ def _blocks(segments: DataFrame, least: int) -> DataFrame:
                     # blocks lie at fixed distances from the anchor, so equal windows fall into equal blocks
                     e = min(n, a + BLOCK - (a - back) % BLOCK)
                     f = a - (a - back) % BLOCK
-                    core = seg[max(a, f + BLOCK - 1) if f + BLOCK - 1 <= e - 1 + least else a : f + least]
-                    key = xxhash.xxh64_intdigest(f"{r}:{f - back}:{core}" if f >= 0 and e - f == BLOCK else f"{r}:{f - back}") - (1 << 63)
+                    # every window of the block has these characters, those of a block that is cut short as well
+                    core = seg[f + BLOCK - 1 : f + least]
+                    key = xxhash.xxh64_intdigest(f"{r}:{f - back}:{core}".encode("utf-8", "surrogatepass")) - (1 << 63)
                     out.append((key, back - a, seg[a : e - 1 + least], d, doc, start + a))
                     a = e
             if out:

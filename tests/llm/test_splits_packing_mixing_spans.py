@@ -262,3 +262,20 @@ def test_hot_passage_is_split(spark, monkeypatch):
     rows = [(i, word(rng.randint(0, 90)) + passage[rng.randint(0, 60) : 200 - rng.randint(0, 20)] + word(rng.randint(0, 90))) for i in range(60)]
     got = {r["doc_id"]: r["shared_chars"] for r in shared_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == covered(rows, 150)
+
+
+def test_hot_passage_meets_across_cut_blocks(spark, monkeypatch):
+    """Pairs that share a few characters more than a hot passage, one document beginning with it and the other ending with it or not."""
+    from lectern.llm import shared_spans
+
+    monkeypatch.setattr(shared_spans, "HOT", 5)
+    monkeypatch.setattr(shared_spans, "SHARD_CHARS", 500)
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(146)
+    rows = [(i, word(rng.randint(20, 90)) + passage + word(rng.randint(20, 90))) for i in range(40)]
+    for i in range(20):
+        own = word(rng.randint(5, 20))
+        rows += [(100 + i, passage + own + word(rng.choice([0, 60]))), (200 + i, word(rng.randint(20, 90)) + passage + own + word(rng.choice([0, 60])))]
+    got = {r["doc_id"]: r["shared_chars"] for r in shared_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == covered(rows, 150)
