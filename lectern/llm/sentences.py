@@ -5,8 +5,8 @@ its length, its opening words, its closing words and the quotations and brackets
 spans covers the paragraph. Garbled, invisible and other-width characters are read in their restored form while
 positions stay those of the stored text. Positions are Unicode code points, start from 0, end exclusive.
 
-Null, empty and blank texts give no sentence; repeated rows give repeated sentences; texts are read whole. Spans of more
-than `MAX_MARKS` inner candidate positions are not considered (a parameter, far beyond real sentences).
+Null, empty and blank texts give no sentence; repeated rows give repeated sentences; texts are read whole. Spans of
+any number of inner candidate positions are considered.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from lectern.llm.encoding import other_page, repair_spans, signs
 from lectern.llm.lookalike import BLANKS, INVISIBLE, LOOKALIKES
 from lectern.llm.scripts import script_of
 
-MAX_MARKS = 200
-
 # Abbreviations that a name or the rest of the sentence follows.
 OPEN_ABBREVIATIONS = set(
     "mr mrs ms dr prof st messrs mme mlle cf vs approx ca e.g i.e z.b d.h bzw u.a s.o s.u inkl evtl ggf vgl sr sra srta dra dña p.ej ee m mm c.-à-d c-à-d av bd ул проф г т.е им акад напр см डॉ श्री प्रो د".split()
@@ -283,12 +281,17 @@ def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool,
     best = [-1e18] * (n + 1)
     back = [0] * (n + 1)
     best[0] = 0.0
+    far, top = 0, 0  # spans that begin before far are no short ones; the best of them begins at top
     for j in range(1, n + 1):
         e = ends[j - 1]
         gain = cand[e][1] if e != hi else 0.0
-        for i in range(max(0, j - MAX_MARKS), j):
-            length = e - starts[i]
-            v = best[i] + gain - (0.6 if length < 4 else 0.0)
+        while far < j and e - starts[far] >= 4:
+            top = far if best[far] > best[top] else top
+            far += 1
+        if far:
+            best[j], back[j] = best[top] + gain, top
+        for i in range(far, j):
+            v = best[i] + gain - 0.6
             if v > best[j]:
                 best[j], back[j] = v, i
     out, j = [], n

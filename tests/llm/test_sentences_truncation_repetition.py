@@ -127,6 +127,11 @@ def test_other_texts_do_not_decide(spark):
     assert all(abs(r["surplus"]) < 0.2 for i, r in out.items() if i[0] == "n")
 
 
+def test_long_quotation_does_not_divide():
+    t = "He said: “" + "We must go home. " * 399 + "We must go home” and left the room. Then it rained."
+    assert [t[a:b][-12:] for a, b in split(t)] == ["ft the room.", "n it rained."]
+
+
 # --- truncation ------------------------------------------------------------------------------------------------------------
 
 
