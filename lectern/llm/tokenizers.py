@@ -30,19 +30,6 @@ def piece_bpe(folder: str = FOLDER, name: str = "piece_bpe_32k.model"):
     return model, frozenset(i for i in range(model.get_piece_size()) if model.is_byte(i))
 
 
-#: A longer run without white space is cut before it is tokenised, as BPE is quadratic in it; only such runs differ.
-RUN = 4000
-
-
 def count_tokens(text: str, enc) -> int:
-    return len(encode(text, enc))
-
-
-def encode(text: str, enc) -> list[int]:
-    """Token ids of a whole text; lone surrogates cannot occur in Spark strings."""
-    if len(text) <= RUN or max(map(len, text.split())) <= RUN:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
-    for k in range(0, len(text), RUN):
-        ids += enc.encode_ordinary(text[k : k + RUN])
-    return ids
+    """Tokens of a whole text; the merges of a run without white space take no more than n log n steps, so no text is cut."""
+    return len(enc.encode_ordinary(text))

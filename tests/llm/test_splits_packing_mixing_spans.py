@@ -1,4 +1,5 @@
 import random
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -135,20 +136,55 @@ def test_pack_keeps_items_whole_and_is_tight():
     rng = random.Random(2)
     for cap in (10, 100, 512):
         sizes = [rng.randint(1, cap) for _ in range(400)]
-        first = packing.best_fit(sizes, cap)
-        bins = packing.local_search(sizes, [list(b) for b in first], cap)
-        assert sorted(i for b in bins for i in b) == list(range(400))
-        assert max(sum(sizes[i] for i in b) for b in bins) <= cap and len(bins) <= len(first)
-    assert packing.pack([], 5) == [] and packing.pack([5, 5], 5) == [[0], [1]]
+        bins, first = packing.pack(sizes, cap)
+        for found in (bins, first):
+            assert sorted(i for b in found for i in b) == list(range(400))
+            assert max(sum(sizes[i] for i in b) for b in found) <= cap
+        assert len(bins) < len(first)
+    assert packing.pack([], 5) == ([], []) and packing.pack([5, 5], 5)[0] == [[0], [1]]
     assert len(packing.local_search([3, 3, 2, 2], [[0], [1], [2], [3]], 5)) == 2
 
 
-def test_local_search_raises_squared_fill():
+def test_first_fit_is_the_first_container_with_room():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 33, 200):
+        sizes = [rng.randint(1, 50) for _ in range(n)]
+        plain: list[list[int]] = []
+        for i, s in enumerate(sizes):
+            k = next((k for k, b in enumerate(plain) if sum(sizes[x] for x in b) + s <= 50), None)
+            plain.append([i]) if k is None else plain[k].append(i)
+        assert packing.first_fit(sizes, 50) == plain
+
+
+def test_search_empties_containers_and_leaves_no_step():
+    """The rows come from the search: it removes containers of the plain fill, and brute force finds no step it left."""
     rng = random.Random(6)
-    sizes = [rng.randint(1, 60) for _ in range(300)]
-    bins = [[i] for i in range(300)]
-    out = packing.local_search(sizes, bins, 100)
-    assert len(out) <= 1.1 * sum(sizes) / 100
+    sizes = [rng.randint(1, 60) for _ in range(120)]
+    search = packing.LocalSearch(sizes, [[i] for i in range(120)], 100)
+    out = search.run()
+    fills = [sum(sizes[i] for i in b) for b in out]
+    assert len(out) <= -(-sum(sizes) // 100) + 2 and {(1, 0), (1, 1)} <= set(search.steps)
+    some = lambda b, none: [(), *((i,) for i in b), *combinations(b, 2)][0 if none else 1 :]
+    total = lambda ids: sum(sizes[i] for i in ids)
+    for (a, f), (b, g) in permutations(zip(out, fills), 2):
+        for x in some(a, False):
+            for y in some(b, True):
+                d = total(x) - total(y)
+                assert not (0 < d <= 100 - g and g + d > f), "a step that raises the squared fill is left"
+
+
+def test_all_partners_are_considered():
+    """Only the last of many underfull containers can take the document."""
+    sizes = [99] * 200 + [97] + [3]
+    assert len(packing.local_search(sizes, [[i] for i in range(202)], 100)) == 201
+
+
+def test_sizes_of_texts_with_long_runs_are_the_tokenizers_own():
+    from lectern.llm.tokenizers import byte_bpe, count_tokens
+
+    enc = byte_bpe()
+    text = "alpha beta gamma delta " * 600 + "漢字、" * 1400 + " and more"
+    assert count_tokens(text, enc) == len(enc.encode_ordinary("alpha beta gamma delta " * 600)) - 1 + len(enc.encode_ordinary(" " + "漢字、" * 1400 + " and more"))
 
 
 DOC = "doc_id long, text string, source string"
@@ -171,6 +207,8 @@ def test_containers(spark):
     whole = p.groupby(["setting_id", "doc_id"]).agg(total=("n_tokens", "sum"), pieces=("piece", "count"))
     assert whole.total.xs(1).equals(whole.total.xs(2)) and 300 not in whole.total.xs(1).index
     assert all(n == -(-t // cap[k[0]]) for k, (t, n) in zip(whole.index, whole.to_numpy()))
+    begun = p.groupby("setting_id").first_container.nunique()
+    assert all(p.groupby("setting_id").container.nunique() <= begun) and p.container.nunique() < p.first_container.nunique()
     assert packing.containers(df.limit(0), s).count() == 0
     assert packing.fill_report(packing.containers(df, s), s).count() == 2
 
