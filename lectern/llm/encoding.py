@@ -2,7 +2,8 @@
 
 Characters are mapped back to the bytes of a legacy code page, a byte-structure automaton (UTF-8's grammar, compiled
 as a regular expression over those bytes) finds the maximal well-formed multibyte spans, and only these are decoded.
-Rounds repeat until nothing changes, which undoes double encodings. What is not UTF-8 under any page (a single-byte or
+A span counts by what it comes to when it is undone as often as it can be, the page of a round by the damage that is then
+left; rounds repeat until nothing changes, which undoes encodings of any number of rounds. What is not UTF-8 under any page (a single-byte or
 double-byte page shown through another) is found by characters that cannot stand where they stand, and decoded where
 one page removes all such places. U+FFFD marks are found but cannot be undone.
 
@@ -13,14 +14,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.scripts import script_of
+
 #: Code pages through which UTF-8 is commonly shown.
 SHOWN_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "cp1250", "cp1253")
+#: Pages whose characters for bytes beyond ASCII are letters of words, so that a sequence may be there by chance.
+_CYRILLIC_PAGES = ("cp1251", "cp866", "koi8_r")
 #: The sentinel for a character that has no byte in the page.
 _NONE = "Ā"
 
@@ -69,59 +75,76 @@ _SEQ = (
 )
 _SPAN = re.compile(f"(?:{_SEQ})+")
 #: Ranges that ordinary prose uses, first those that stand alone, then those that come in words.
-_ALONE = re.compile("[ -ÿŒœŠšŸŽžƒˆ˜‐-›€™−ﬀ-ﬆ﻿​-‏⁠]")
+_ALONE = re.compile("[\uff01-\uff5e\u2000-\u200a -ÿŒœŠšŸŽžƒˆ˜‐-›€™−ﬀ-ﬆ﻿​-‏⁠]")
 _LATIN_PROSE = re.compile("[À-ÿ‘-„–—…€™«»¡]+")
 _RUN = re.compile("[\x80-\xff]+")
-_IN_WORDS = re.compile("[Ā-ſͰ-ϿЀ-џҐґא-ת؀-ۿऀ-ॿก-๛　-ヿ一-鿿가-힣！-～｡-ﾟ̀-ͯ]")
+_IN_WORDS = re.compile("[Ā-ſ΄-ώЀ-џҐґא-ת؀-ۿऀ-ॿก-๛　-ヿ一-鿿가-힣！-～｡-ﾟ̀-ͯ]")
+
+
+def _sequences(text: str, codec: str) -> list[tuple[int, int, str]]:
+    """Maximal well-formed spans (start, end, decoded) of a text as the page shows them."""
+    mapped = text.translate(_PAGES[codec])
+    found = []
+    for run in _RUN.finditer(mapped):
+        part = list(_SPAN.finditer(mapped, run.start(), run.end()))
+        # a chance match leaves most of its run over; a garbled stretch is made of sequences
+        if part and sum(m.end() - m.start() for m in part) * 10 >= 7 * (run.end() - run.start()):
+            found += part
+    return [(m.start(), m.end(), m.group().encode("latin-1").decode("utf-8", "replace")) for m in found]
+
+
+def _strange(text: str) -> int:
+    """Characters that prose does not use."""
+    return sum(1 for c in text if c > "\x7f" and not _ALONE.match(c) and not _IN_WORDS.match(c))
+
+
+@lru_cache(maxsize=50_000)
+def _meant(shown: str) -> str:
+    """A span undone as often as it can be, through the pages that leave the fewest strange characters."""
+    best, least = shown, _strange(shown)
+    for codec in SHOWN_AS:
+        if _HINTS[codec].search(shown) and (spans := _sequences(shown, codec)):
+            m = _meant(_apply(shown, spans))
+            if (_strange(m), len(m)) < (least, len(best)) and (codec not in _CYRILLIC_PAGES or _accepted(m, codec, "")):
+                best, least = m, _strange(m)
+    return best
 
 
-def _accepted(decoded: str, shown: str, codec: str, others: str) -> bool:
-    """Whether a decoded span reads like prose rather than like a chance match."""
-    alone = len(_ALONE.findall(decoded))
-    if alone + len(_IN_WORDS.findall(decoded)) < len(decoded):
+def _accepted(meant: str, codec: str, others: str) -> bool:
+    """Whether a span reads like prose rather than like a chance match."""
+    alone = len(_ALONE.findall(meant))
+    if _strange(meant):
         return False
-    if codec in ("cp1251", "cp866", "koi8_r"):
+    if codec in _CYRILLIC_PAGES:
         # an upper-case letter before a quotation mark, or two look-alike letters, look like a sequence
         native = re.search("[а-я]{3}", others) is not None
-        return len(decoded) >= 2 and alone < len(decoded) or not native and bool(_LATIN_PROSE.fullmatch(decoded))
-    if alone == len(decoded):
-        return True
-    return len(decoded) >= 2
+        return len(meant) >= 2 and alone < len(meant) or not native and bool(_LATIN_PROSE.fullmatch(meant))
+    return alone == len(meant) or len(meant) >= 2
 
 
 def repair_spans(text: str) -> list[tuple[int, int, str]]:
-    """One round: non-overlapping (start, end, replacement) of garbled multibyte spans."""
+    """One round: non-overlapping (start, end, replacement) of garbled multibyte spans, through one page."""
     if text.isascii():
         return []
-    best: list[tuple[int, int, str]] = []
+    found: list[list[tuple[int, int, str]]] = []
     for codec in SHOWN_AS:
         if not _HINTS[codec].search(text):
             continue
-        spans = []
-        mapped = text.translate(_PAGES[codec])
-        found = []
-        for run in _RUN.finditer(mapped):
-            part = list(_SPAN.finditer(mapped, run.start(), run.end()))
-            # a chance match leaves most of its run over; a garbled stretch is made of sequences
-            if part and sum(m.end() - m.start() for m in part) * 10 >= 7 * (run.end() - run.start()):
-                found += part
-        if not found:
-            continue
-        others = _SPAN.sub(" ", mapped) if codec in ("cp1251", "cp866", "koi8_r") else ""
-        if others:  # natural Cyrillic letters outside the spans, in their own code points
-            keep, at = [], 0
-            for m in found:
-                keep.append(text[at : m.start()])
-                at = m.end()
-            keep.append(text[at:])
-            others = " ".join(keep)
-        for m in found:
-            decoded = m.group().encode("latin-1").decode("utf-8", "replace")
-            if _accepted(decoded, text[m.start() : m.end()], codec, others):
-                spans.append((m.start(), m.end(), decoded))
-        if sum(e - s for s, e, _ in spans) > sum(e - s for s, e, _ in best):
-            best = spans
-    return best
+        spans = _sequences(text, codec)
+        others = ""
+        if codec in _CYRILLIC_PAGES:  # natural Cyrillic letters outside the spans, in their own code points
+            others = _apply(text, [(s, e, " ") for s, e, _ in spans])
+        good = [x for x in spans if _accepted(_meant(x[2]), codec, others)]
+        # a word of one letter counts beside longer ones of its script
+        scripts = {script_of(m) for x in good if len(m := _meant(x[2])) >= 2} - {"none", "latin"}
+        if scripts and len(good) < len(spans):
+            good = [x for x in spans if x in good or not _strange(m := _meant(x[2])) and script_of(m) in scripts]
+        if good:
+            found.append(good)
+    if len(found) < 2:
+        return found[0] if found else []
+    covered = lambda spans: sum(e - s for s, e, _ in spans)
+    return min(found, key=lambda spans: (_damage(_apply(text, [(s, e, _meant(r)) for s, e, r in spans])), -covered(spans)))
 
 
 def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -196,7 +219,7 @@ _STRETCH = {(a, d): _stretches(a, d) for a in ("cp1252", "mac_roman", "cp437", "
 
 def _damage(text: str) -> int:
     """Signs of a wrong page, and characters that prose does not use."""
-    return signs(text) + sum(1 for c in text if c > "\x7f" and not _ALONE.match(c) and not _IN_WORDS.match(c))
+    return signs(text) + _strange(text)
 
 
 def other_page(text: str) -> tuple[list[tuple[int, int, str]], str]:
@@ -212,20 +235,30 @@ def other_page(text: str) -> tuple[list[tuple[int, int, str]], str]:
     return best, page
 
 
+def rounds(text: str) -> Iterator[tuple[list[tuple[int, int, str]], str]]:
+    """(spans, page they were written in) of one repair after another, each of the text the last one left, until none is found.
+
+    Every round shortens the text or leaves it less damaged, so there is a last one.
+    """
+    while True:
+        spans, page = repair_spans(text), "utf-8"
+        if not spans and signs(text):
+            spans, page = other_page(text)
+        if not spans:
+            return
+        yield spans, page
+        text = _apply(text, spans)
+
+
 def restore(text: str | None) -> tuple[str | None, bool, int]:
     """(text with every recoverable span decoded, whether anything was garbled, signs left that cannot be undone)."""
     if not text or not text.strip() or text.isascii():
         return text, False, 0
     hit = False
-    for _ in range(4):
-        spans = repair_spans(text)
-        if not spans:
-            break
+    for spans, _ in rounds(text):
         hit, text = True, _apply(text, spans)
-    if not signs(text):
-        return text, hit, 0
-    text = _apply(text, other_page(text)[0])
-    return text, True, signs(text)
+    left = signs(text)
+    return text, hit or left > 0, left
 
 
 def garbling(df: DataFrame, text: str = "text", out: str = "garbling") -> DataFrame:

@@ -44,14 +44,24 @@ def _single() -> tuple[str, str]:
                 table[c] = n
     for c in [*table]:
         table[c] = LOOKALIKES.get(table[c], table[c])
-    table |= LOOKALIKES
+    table |= LOOKALIKES | {c: r for c, r in _accented().items() if len(r) == 1}
     return "".join(table), "".join(table.values())
 
 
+def _accented() -> dict[str, str]:
+    """Accented Cyrillic and Greek letters as the look-alike of their letter with the accent, as their decomposed spelling becomes."""
+    out = {}
+    for cp in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        if marks and base in LOOKALIKES and chr(cp) not in LOOKALIKES:
+            out[chr(cp)] = unicodedata.normalize("NFC", LOOKALIKES[base] + "".join(marks))
+    return out
+
+
 def _joined() -> dict[str, str]:
-    """Joined letters that open into several, and half-width kana with a voicing mark."""
+    """Joined letters that open into several, and accented letters that have no composed look-alike."""
     out = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFB00, 0xFB07), *range(0xFEF5, 0xFEFD), 0x0132, 0x0133, 0x01C7, 0x01C8, 0x01C9, 0x01CA, 0x01CB, 0x01CC]}
-    return out
+    return out | {c: r for c, r in _accented().items() if len(r) > 1}
 
 
 FROM, TO = _single()

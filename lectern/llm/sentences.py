@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.encoding import other_page, repair_spans, signs
+from lectern.llm.encoding import rounds
 from lectern.llm.lookalike import BLANKS, INVISIBLE, LOOKALIKES
 from lectern.llm.scripts import script_of
 
@@ -65,10 +65,7 @@ def working(text: str) -> tuple[str, list[int] | None]:
     if text.isascii():
         return text, None
     at: list[int] | None = None
-    for step in range(4):
-        spans, page = (repair_spans(text), "utf-8") if step < 3 else (other_page(text) if signs(text) else ([], ""))
-        if not spans:
-            continue
+    for spans, page in rounds(text):
         at = at or list(range(len(text) + 1))
         parts, new, k = [], [], 0
         for s, e, r in spans:

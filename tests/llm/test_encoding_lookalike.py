@@ -40,6 +40,36 @@ def test_double_encoding():
     assert restore(wrong(wrong("Sóz’s", "utf-8", "cp1252"), "utf-8", "cp1252"))[0] == "Sóz’s"
 
 
+PLAIN = (
+    "Größe und Füße: „schön“ – gesagt für Jürgen.", "L’été à la plage, c’est déjà fini – hélas…", "¿Qué pasó mañana? “Nada”, contestó él.",
+    "Мы жили на ул. Лесной, д. 5, и я знал в чём дело.", "父は村の辞書を買った。「待って！」", "ฉันชอบอ่านหนังสือ", "قال د. سمير إن الوقت و المال", "मैं घर गया। वह आया था।",
+)
+
+
+@pytest.mark.parametrize("text", PLAIN)
+@pytest.mark.parametrize("page", ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1253"])
+def test_any_number_of_rounds_through_a_page_is_undone(text, page):
+    garbled = text
+    for n in range(5):
+        garbled = wrong(garbled, "utf-8", page)
+        assert restore(garbled) == (text, True, 0), n + 1
+
+
+@pytest.mark.parametrize("pages", [("latin-1", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman", "cp437")])
+def test_rounds_through_different_pages(pages):
+    for text in PLAIN:
+        garbled = text
+        for p in pages:
+            garbled = wrong(garbled, "utf-8", p)
+        assert restore(garbled) == (text, True, 0)
+
+
+def test_places_of_more_pages_than_rounds_were_once_allowed():
+    pages = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850", "cp1253")
+    text = " and then ".join(wrong("façade déjà vécu", "utf-8", p) for p in pages)
+    assert restore(text) == (" and then ".join(["façade déjà vécu"] * len(pages)), True, 0)
+
+
 @pytest.mark.parametrize("text", [None, "", "  ", "ascii only", "a round-trip to SÃO Paulo", "the symbol Â stood for it, and Ã for that", "ordered CRÈME BRÛLÉE twice", "547 € or 682 £, ™ and all", "in Übung und À Paris « été »", "Мы в СССР» – сказал он", "Тhе рrоjесt аt Вахеhult", "цена 3 ₽ и №5"])
 def test_intended_signs_stay(text):
     assert restore(text) == (text, False, 0)
@@ -64,6 +94,7 @@ def test_garbling_columns(spark):
 SAME = [
     ("Ａｂｃ １２", "Abc 12"), ("café", "café"), ("sym­bol​", "symbol"), ("a b c", "a b c"), ("Giﬁt", "Gifit"), ("Тhе рrоjесt", "The project"),
     ("ｶﾞｷ", "ガキ"), ("Αnna", "Anna"), ("ёlka", "ëlka"),
+    ("άλλος ύπνος ίδιος ό", "α\u0301λλος υ\u0301πνος ι\u0301διος ο\u0301"), ("ў и й ѐ", "у\u0306 и и\u0306 е\u0300"), ("ά", "á"),
 ]
 OTHER = [("a  b", "a b"), ("a\nb", "a b"), ("Abc", "abc"), ("cafe", "café"), ("a b.", "a b"), ("1", "2"), ("“a”", '"a"')]
 
