@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,6 +46,15 @@ def _page(codec: str) -> dict[int, str]:
     return table
 
 
+#: Marks of ordinary typography: no two of them, nor one beside ASCII, can be a byte sequence or a sign of a wrong page.
+TYPOGRAPHY = frozenset("‘’“”–—…\xa0")
+
+
+def ordinary(text: str) -> bool:
+    """Whether a text has no other characters than ASCII and marks of typography, which nothing has to be looked for in."""
+    return text.isascii() or all(c <= "\x7f" or c in TYPOGRAPHY for c in set(text))
+
+
 class _Bytes(dict):
     def __init__(self, codec: str):
         super().__init__(_page(codec))
@@ -124,7 +133,7 @@ def _accepted(meant: str, codec: str, others: str) -> bool:
 
 def repair_spans(text: str) -> list[tuple[int, int, str]]:
     """One round: non-overlapping (start, end, replacement) of garbled multibyte spans, through one page."""
-    if text.isascii():
+    if ordinary(text):
         return []
     found: list[list[tuple[int, int, str]]] = []
     for codec in SHOWN_AS:
@@ -173,6 +182,19 @@ SIGNS = {
     "mixed_script": re.compile(f"[bdf-hk-nq-rt-wz](?![{_CYR_LIKE}])[Ѐ-џҐґ][a-z]|[a-z](?![{_CYR_LIKE}])[Ѐ-џҐґ][bdf-hk-nq-rt-wz]"),
 }
 _ANY = re.compile("|".join(f"(?:{r.pattern})" for r in SIGNS.values()))
+#: Characters beyond ASCII of which a sign needs one; signs whose characters a text lacks are not looked for.
+_NEEDS = {
+    "replacement": "�", "control": "\x80-\x9f", "upper_in_word": f"{_ACC_UP}ÒÓÔÕ", "symbol_in_word": f"{_ODD}â", "box": "─-▟", "high_run": "¡-ÿ",
+    "swapped_case": "А-яЁё", "no_vowels": "А-яЁё", "mixed_script": "Ѐ-џҐґ",
+}
+_NEEDS = {k: re.compile(f"[{v}]") for k, v in _NEEDS.items()}
+
+
+@cache
+def _any_of(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?:{SIGNS[n].pattern})" for n in names))
+
+
 #: (page it was shown through, page it was written in) for texts that are not UTF-8 underneath.
 PAIRS = (
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"),
@@ -183,7 +205,11 @@ PAIRS = (
 
 def signs(text: str) -> int:
     """How many places of a text show a wrong page."""
-    return 0 if text.isascii() else sum(1 for _ in _ANY.finditer(text))
+    if ordinary(text):
+        return 0
+    chars = "".join(c for c in set(text) if c > "\x7f")
+    names = tuple(n for n, r in _NEEDS.items() if r.search(chars))
+    return sum(1 for _ in _any_of(names).finditer(text)) if names else 0
 
 
 def _stretches(shown: str, double: bool) -> re.Pattern:
@@ -252,7 +278,7 @@ def rounds(text: str) -> Iterator[tuple[list[tuple[int, int, str]], str]]:
 
 def restore(text: str | None) -> tuple[str | None, bool, int]:
     """(text with every recoverable span decoded, whether anything was garbled, signs left that cannot be undone)."""
-    if not text or not text.strip() or text.isascii():
+    if not text or not text.strip() or ordinary(text):
         return text, False, 0
     hit = False
     for spans, _ in rounds(text):

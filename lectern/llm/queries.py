@@ -37,7 +37,7 @@ def _repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("repeats").select("essay_id").distinct()
+    return repetition.repeating(_essays(spark, d))
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:

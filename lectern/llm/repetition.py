@@ -1,11 +1,14 @@
 """Problem 2: repetition inside a single document.
 
 A public tokenizer with byte fallback measures every text: characters per token (fertility), share of tokens that fall
-back to bytes, entropy of the tokens and how far it stays below what a text of so many tokens could have. Each script has a line
-of this redundancy over the length, fitted on its texts that hardly repeat, and bands of the others; where a text lies is
-reported. Token entropy does not tell a text that says little twice from one that says two fifths of it again, so it
-decides nothing: the share itself is measured on every text, the readable units that lie in a run seen earlier in the
-text, and whether an essay is a case does not depend on the other essays.
+back to bytes, entropy of the tokens, and the redundancy of their runs, how many bits the entropy of runs of tokens (of
+three words; of eight characters in unspaced scripts) stays below that of as many different runs, every run weighted by
+its characters. A text below the rejection band of the redundancy is rejected. The band has a floor that holds for every
+text: a run that comes m times adds (m/W) w log2 m >= 2 (m-1) w / W bits, and the w's of the runs said before cover the
+repeated characters, so a text that repeats a share s of its N characters has 2 s N / W bits at least (W: the characters of
+all runs, each run on its own). The others are measured exactly: the readable units that lie in a run seen earlier in the
+text. Whether an essay is a case does not depend on the other essays. Where a text lies among those of its script (bands of
+fertility, byte share and redundancy over length) is reported beside it.
 
 Null and blank texts have no tokens, null measures and a share of 0; other columns pass through; texts are read whole.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +45,8 @@ _SCHEMA = T.StructType(
         T.StructField("byte_share", T.DoubleType()),
         T.StructField("entropy", T.DoubleType()),
         T.StructField("redundancy", T.DoubleType()),
+        T.StructField("run_redundancy", T.DoubleType()),
+        T.StructField("rejected", T.BooleanType()),
         T.StructField("repeated_share", T.DoubleType()),
     ]
 )
@@ -48,62 +54,94 @@ _SCHEMA = T.StructType(
 
 def repeated_share(text: str | None) -> float:
     """Share of the readable characters that lie in runs of units seen earlier in the same text (loops included)."""
-    if not text:
-        return 0.0
-    seq, single = units(text)
-    k = RUN_CHARS if single else RUN_WORDS
-    n = len(seq)
-    if n < 2:
-        return 0.0
-    ids: dict[str, int] = {}
-    w = [ids.setdefault(x, len(ids)) for x in seq]
-    said = bytearray(n)
-    seen: set[int] = set()
-    base = len(ids) + 1
-    top = base ** (k - 1)
-    key = 0
-    for i in range(n):
-        key = key % top * base + w[i]
-        if i >= k - 1:
-            if key in seen:
-                said[i - k + 1 : i + 1] = b"\1" * k
+    return Runs(*units(text)).share() if text else 0.0
+
+
+class Runs:
+    """The runs of units of one text, as numbers; `w` may be any numbers that are equal for equal units."""
+
+    def __init__(self, seq: list[str], single: bool, w: list[int] | None = None):
+        self.k = RUN_CHARS if single else RUN_WORDS
+        self.sizes = [1] * len(seq) if single else [*map(len, seq)]
+        if w is None:
+            ids: dict[str, int] = {}
+            w = [ids.setdefault(x, len(ids)) for x in seq]
+        self.runs = [*zip(*(w[i:] for i in range(self.k)))]
+
+    def redundancy(self) -> tuple[float, float]:
+        """Bits that the entropy of the runs stays below that of different ones, and the share of characters that as many bits may repeat at most."""
+        n, m = len(self.sizes), len(self.runs)
+        if m < 1:
+            return 0.0, 1.0
+        sums = [0, *accumulate(self.sizes)]
+        weight: dict[tuple, int] = {}
+        for i, r in enumerate(self.runs):
+            weight.setdefault(r, sums[i + self.k] - sums[i])
+        counts = Counter(self.runs)
+        whole = sum(c * weight[r] for r, c in counts.items())
+        bits = sum(c * weight[r] * math.log2(c) for r, c in counts.items() if c > 1) / whole
+        return bits, bits * whole / (2 * sums[n])
+
+    def share(self) -> float:
+        """Share of the characters that lie in runs seen earlier."""
+        n, k = len(self.sizes), self.k
+        if n < 2:
+            return 0.0
+        said = bytearray(n)
+        seen: set[tuple] = set()
+        for i, r in enumerate(self.runs):
+            if r in seen:
+                said[i : i + k] = b"\1" * k
             else:
-                seen.add(key)
-    total = sum(map(len, seq))
-    return sum(len(x) for x, s in zip(seq, said) if s) / total
-
-
-
-
-def _unit_text(text: str) -> str:
-    return " ".join(units(text)[0])
-
-
-def fertility(texts: list[str], folder: str = FOLDER) -> list[tuple]:
-    """(script, tokens, characters per token, byte share, entropy, redundancy) of each text, letters only, lower case."""
-    model, byte_ids = piece_bpe(folder)
-    plain = [_unit_text(t) for t in texts]
-    out = []
-    for p, ids in zip(plain, model.encode(plain, num_threads=1)):
+                seen.add(r)
+        return sum(x for x, s in zip(self.sizes, said) if s) / sum(self.sizes)
+
+
+class Tokens:
+    """Tokens of single words, asked of the tokenizer once; a text's tokens are those of its words, which no token crosses."""
+
+    def __init__(self, folder: str = FOLDER):
+        self.model, self.byte_ids = piece_bpe(folder)
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.numbers: dict[tuple[int, ...], int] = {}
+
+    def of(self, words: list[str]) -> list[tuple[int, ...]]:
+        kept = self.kept
+        new = [w for w in dict.fromkeys(words) if w not in kept]
+        if new:
+            if len(kept) > 300_000:
+                kept.clear()
+                self.numbers.clear()
+                new = [*dict.fromkeys(words)]
+            kept.update(zip(new, map(tuple, self.model.encode(new, num_threads=1))))
+        return [kept[w] for w in words]
+
+    def measure(self, text: str, every: bool) -> tuple:
+        """A row of _SCHEMA for one text, letters only, lower case; the share of what the band rejects only if every."""
+        seq, single = units(text)
+        script = script_of(text)
+        if not seq:
+            return (script, 0, None, None, None, None, None, True, 0.0)
+        # in unspaced scripts tokens run over the units, so whole stretches are tokenised, and the unit is the character
+        parts = self.of(seq) if not single else self.model.encode(["".join(seq)], num_threads=1)
+        ids = [*chain.from_iterable(parts)]
         n = len(ids)
-        if not n:
-            out.append((script_of(p), 0, None, None, None, None))
-            continue
+        chars = sum(map(len, seq))
         h = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
-        most = math.log2(n)
-        out.append((script_of(p), n, len(p) / n, sum(i in byte_ids for i in ids) / n, h, most - h))
-    return out
+        runs = Runs(seq, single, None if single else [self.numbers.setdefault(p, len(self.numbers)) for p in parts])
+        bits, most = runs.redundancy()
+        rejected = most < SHARE - 1e-9
+        return (script, n, chars / n, sum(i in self.byte_ids for i in ids) / n, h, math.log2(n) - h, bits, rejected, runs.share() if every or not rejected else None)
 
 
-def measures(df: DataFrame, text: str = "text", out: str = "repetition", folder: str = FOLDER) -> DataFrame:
-    """Adds the struct column `out` with the tokenizer's measures and the repeated share of every text."""
+def measures(df: DataFrame, text: str = "text", out: str = "repetition", folder: str = FOLDER, every: bool = True) -> DataFrame:
+    """Adds the struct column `out` with the tokenizer's measures; if not every, the share of what the band rejects is null."""
 
     @F.pandas_udf(_SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(folder)
         for s in batches:
-            texts = [restore(t)[0] if isinstance(t, str) else "" for t in s]
-            rows = [(*f, repeated_share(t)) for f, t in zip(fertility(texts, folder), texts)]
-            yield pd.DataFrame(rows, columns=_SCHEMA.names)
+            yield pd.DataFrame([tokens.measure(restore(t)[0] if isinstance(t, str) else "", every) for t in s], columns=_SCHEMA.names)
 
     return df.withColumn(out, run(df[f"`{text}`"]))
 
@@ -122,13 +160,15 @@ def bands(measured: DataFrame, out: str = "repetition") -> DataFrame:
     )
 
 
-def judged(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """Measures of every essay, whether it leaves its script's bands, and whether it repeats itself.
+def repeating(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
+    """essay_id of every essay that the band does not reject and of whose readable characters two fifths lie in repeated runs."""
+    m = measures(essays.where("essay_id IS NOT NULL").select("essay_id", "text"), folder=folder, every=False)
+    return m.where(f"NOT repetition.rejected AND repetition.repeated_share >= {SHARE}").select("essay_id").distinct()
 
-    A text repeats itself if two fifths of its readable characters lie in repeated runs. The bands are few rows, one for
-    each script.
-    """
-    m = cut(measures(essays.where("essay_id IS NOT NULL").select("essay_id", "label", "model", "text")).drop("text"))
+
+def judged(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
+    """Measures and repeated share of every essay, where it lies in its script's bands, and whether it repeats itself."""
+    m = cut(measures(essays.where("essay_id IS NOT NULL").select("essay_id", "label", "model", "text"), folder=folder).drop("text"))
     b = F.broadcast(bands(m).withColumnRenamed("script", "band_script"))  # one row for each script
     j = m.join(b, F.col("repetition.script") == F.col("band_script"), "left").drop("band_script")
     surplus = F.col("repetition.redundancy") - (F.col("intercept") + F.col("slope") * F.log2("repetition.n_tokens"))
@@ -137,5 +177,5 @@ def judged(essays: DataFrame, folder: str = FOLDER) -> DataFrame:
         "essay_id", "label", "model", "repetition.*", "surplus",
         (~F.col("repetition.chars_per_token").between(F.col("fertility")[0], F.col("fertility")[2])).alias("odd_fertility"),
         (~F.col("repetition.byte_share").between(F.col("bytes")[0], F.col("bytes")[2])).alias("odd_bytes"),
-        (F.col("repetition.repeated_share") >= SHARE).alias("repeats"),
+        (~F.col("repetition.rejected") & (F.col("repetition.repeated_share") >= SHARE)).alias("repeats"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.encoding import rounds
+from lectern.llm.encoding import ordinary, rounds
 from lectern.llm.lookalike import BLANKS, INVISIBLE, LOOKALIKES
 from lectern.llm.scripts import script_of
 
@@ -62,8 +62,8 @@ _BREAK = re.compile(r"[^\S\n]*\n[^\S\n]*(?:\n\s*)+|[ \x0c]+")
 
 def working(text: str) -> tuple[str, list[int] | None]:
     """The text as it is meant, and for each of its positions (and its end) the position in the stored text; None: the same."""
-    if text.isascii():
-        return text, None
+    if ordinary(text):
+        return text.replace("\xa0", " "), None
     at: list[int] | None = None
     for spans, page in rounds(text):
         at = at or list(range(len(text) + 1))
@@ -85,7 +85,7 @@ def working(text: str) -> tuple[str, list[int] | None]:
         at = [at[i] for i in keep] + [at[-1]]
         text = "".join(text[i] for i in keep)
     if not _NATIVE.search(text):
-        return text.translate(_ONE), at
+        return (text if _ONE.keys().isdisjoint(map(ord, set(text))) else text.translate(_ONE)), at
     # Latin letters inside words of native Cyrillic or Greek are look-alikes the other way round
     text = text.translate(_WIDTH)
     return _MIXED.sub(lambda m: m.group().translate(_BACK), text), at

@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,19 @@ from lectern.session import cut
 NEIGHBOURS, NEIGHBOURS_PER_TOKEN, FDR, LEAST = 25, 4, 0.01, 3
 #: From how many sightings on a context is trusted, and the share of sentence ends below which a text goes on there.
 SEEN, GOES_ON = 4, 0.12
+#: Tokens of a line of its own that can be a formula (a sign-off, a note).
+LINE = 9
 
 # Marks that systems put where they cut a text.
 _MARK = re.compile(
     r"\s*(?:(?:\[|\(|<)\s*(?:truncated|cut|snip(?:ped)?|cont(?:inued|'d|\.|d)?|more|read more|see more|\.\.\.|…)\s*(?:\.\.\.|…)?\s*(?:\]|\)|>)?|(?:\.\.\.|…)?\s*(?:read|see|show) more\s*(?:\.\.\.|…|»|>+)?|\(cont)\s*$",
     re.I,
 )
+#: An end that none of these marks has.
+_PLAIN_END = re.compile(r"[!?”\"。！？]$|(?:^|[^.])\.$")
 _ELLIPSIS = re.compile(r"\s*(?:\.\.\.+|…+)$")
 _STOP = re.compile(r"[.!?。！？।؟۔]+[\"”“»«’')\]」』）]*$|[)\]」』】]$|[!?.]\s*[»”\"]$")
+_CLOSERS = ".!?。！？।؟۔\"”“»«’')]」』） \t"
 _TOKENS = re.compile(r"\w+(?:['’.\-]\w+)*|[.!?…。！？।؟]+|\n+|[^\w\s]")
 _STOPS = re.compile(r"[.!?…。！？।؟]+")
 _OPENERS = {"“": "”", "«": "»", "(": ")", "「": "」", "『": "』", "„": "“"}
@@ -88,15 +94,15 @@ class Asked:
             return np.ones(len(keys), bool)
         return has(self.sketch, self.bits, np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in keys], np.uint64))
 
-    def word(self, w: str) -> tuple[bool, bool, bool]:
-        """Whether a word is asked for as a last word, as what a cut word may have been, and as the word before."""
+    def word(self, w: str) -> tuple[bool, tuple[int, ...], bool]:
+        """Whether a word is asked for as a last word, by which of its beginnings it may have been cut, and whether as the word before."""
         got = self.words.get(w)
         if got is None:
             if len(self.words) > 500_000:
                 self.words.clear()
-            ahead = [f"f|{w[:m]}" for m in range(1, min(len(w), 7))] if w.isalpha() else []
-            y = self.has([f"u|{w}", f"v|{w}", *ahead])
-            got = self.words[w] = (bool(y[0]), bool(y[2:].any()), bool(y[1]))
+            ahead = [f"f|{w[:m]}" for m in range(1, len(w))] if w.isalpha() else []
+            y = self.has([f"u|{w}", f"v|{w}", *ahead]).tolist()
+            got = self.words[w] = (y[0], tuple(m for m, x in enumerate(y[2:], 1) if x), y[1])
         return got
 
     def pair(self, c: str) -> bool:
@@ -106,60 +112,108 @@ class Asked:
         return got
 
 
-def corpus_counts(t: str, asked: Asked) -> Counter:
-    """Of one text: every word (or characters of unspaced scripts) in context, whether a sentence ends there; starts of lines."""
-    out: Counter = Counter()
-    if is_unspaced(t):
+class CorpusCounts:
+    """How often words (characters in unspaced scripts) stand in a context and how often a sentence ends there; starts of lines.
+
+    Words are counted as they stand, with the two before them; only different ones are turned into contexts, and only into
+    those that are asked for.
+    """
+
+    def __init__(self, asked: Asked):
+        self.asked = asked
+        self.words: Counter = Counter()  # (two before, one before, word, a sentence ends)
+        self.keys: Counter = Counter()  # (key, ends)
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.keys)
+
+    def add(self, t: str) -> None:
+        if is_unspaced(t):
+            self._characters(t)
+        else:
+            self._words(t)
+            self._lines(t)
+
+    def _characters(self, t: str) -> None:
         ends = {m.start() for m in re.finditer(r"[。！？…!?]|\s+(?=[^\d\s])" if script_of(t) == "thai" else "[。！？…!?]", t)}
         for i in range(2, len(t)):
-            if not t[i - 1].isspace() and asked.pair(t[max(0, i - 2) : i]):
+            if not t[i - 1].isspace() and self.asked.pair(t[i - 2 : i]):
                 for k in _chars(t, i):
-                    out[k, i in ends] += 1
-        return out
-    toks = _TOKENS.findall(t)
-    words: list[str] = []
-    n = len(toks)
-    for i, w in enumerate(toks):
-        if not (w[0].isalnum() or w[0] == "_"):
-            if w[0] in ".!?…。！？।؟\n":
-                words = []
-            continue
-        words.append(w)
-        if i + 1 == n:
-            continue  # the text's own end is what is to be judged
-        low = _norm(w)
-        last, cut_, _ = asked.word(low)
-        a = _norm(words[-2]) if len(words) > 1 else "<s>"
-        before = asked.word(a)[2]
-        if not (last or cut_ or before):
-            continue
-        nxt = toks[i + 1]
-        stop = False
-        if nxt[0] in ".!?…。！？।؟":
-            k = i + 2
-            while k < n and toks[k] in "\"”»’)“":
-                k += 1
-            stop = k >= n or toks[k][0] == "\n" or not toks[k][0].islower()
-            if nxt[0] == "." and low in OPEN_ABBREVIATIONS:
-                stop = False
-        k4, k3, k2, k1 = _contexts(words, len(words) - 1)
-        if last:
-            out[k4, stop] += 1
-            out["u|" + low, False] += 1
-        if last or cut_:
-            out[k3, stop] += 1
-        if before:
-            out[k2, stop] += 1
-        out[k1, stop] += 1
-    lines = [x.strip() for x in t.split("\n") if x.strip()]
-    for j, line in enumerate(lines):
-        ws = _kinds(_TOKENS.findall(line[:400])[:12])
-        for k in range(1, min(len(ws), 10)):
-            if not ws[k - 1] == ws[k] == "X":
-                out["l|" + _template(ws[:k]), False] += 1
-        if len(ws) <= 9 and j == len(lines) - 1 and j:
-            out["l|" + _template(ws), True] += 1
-    return out
+                    self.keys[k, i in ends] += 1
+
+    def _words(self, t: str) -> None:
+        toks = _TOKENS.findall(t)
+        words = self.words
+        z = a = "<s>"
+        n = len(toks)
+        for i, w in enumerate(toks):
+            c = w[0]
+            if not (c.isalnum() or c == "_"):
+                if c in ".!?…。！？।؟\n":
+                    z = a = "<s>"
+                continue
+            if i + 1 == n:
+                break  # the text's own end is what is to be judged
+            nxt = toks[i + 1]
+            stop = False
+            if nxt[0] in ".!?…。！？।؟":
+                k = i + 2
+                while k < n and toks[k] in "\"”»’)“":
+                    k += 1
+                stop = (k >= n or toks[k][0] == "\n" or not toks[k][0].islower()) and not (nxt[0] == "." and _norm(w) in OPEN_ABBREVIATIONS)
+            words[z, a, w, stop] += 1
+            z, a = a, w
+
+    def _lines(self, t: str) -> None:
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        for j, line in enumerate(lines):
+            ws = _kinds([m.group() for m in islice(_TOKENS.finditer(line), LINE + 3)])
+            for k in range(1, min(len(ws), LINE + 1)):
+                if not ws[k - 1] == ws[k] == "X":
+                    self.keys["l|" + _template(ws[:k]), False] += 1
+            if len(ws) <= LINE and j == len(lines) - 1 and j:
+                self.keys["l|" + _template(ws), True] += 1
+
+    def flush(self) -> dict[str, list[int]]:
+        """key -> [times, times at an end] of the keys asked for; counting begins anew."""
+        word = self.asked.word
+        keys: list[str] = []
+        times: list[int] = []
+        ends: list[int] = []
+
+        def put(key: str, v: int, end: int) -> None:
+            keys.append(key)
+            times.append(v)
+            ends.append(end)
+
+        shapes: Counter = Counter()
+        for (z, a, w, stop), v in self.words.items():
+            low, at = _norm(w), v if stop else 0
+            last, cut_, _ = word(low)
+            before = word(_norm(a))[2]
+            if not (last or cut_ or before):
+                continue
+            k4, k3, k2, k1 = _contexts([z, a, w], 2)
+            if last:
+                put(k4, v, at)
+                put("u|" + low, v, 0)
+            if last or cut_:
+                put(k3, v, at)
+            for m in cut_:  # what a cut word may have been: beginnings of the words seen after its predecessor
+                put(f"p{k3[1 : len(k3) - len(low) + m]}", v, 0)
+            if before:
+                put(k2, v, at)
+            shapes[k1, stop] += v
+        for (k, end), v in [*self.keys.items(), *shapes.items()]:
+            put(k, v, v if end else 0)
+        self.words.clear()
+        self.keys.clear()
+        both: dict[str, list[int]] = {}
+        for i in np.flatnonzero(self.asked.has(keys)).tolist() if keys else ():
+            x = both.setdefault(keys[i], [0, 0])
+            x[0] += times[i]
+            x[1] += ends[i]
+        return both
 
 
 _TAIL = T.StructType(
@@ -184,16 +238,14 @@ def _tail(text: str | None) -> tuple:
     n = len(text.rstrip())
     if not t:
         return ("blank", [], None, False, False, 0)
-    if repeated_share(t) >= SHARE:
-        return ("repeats", [], None, False, False, n)
-    m = _MARK.search(t)
+    m = None if _PLAIN_END.search(t, len(t) - 2) and not t.lower().endswith("cont.") else _MARK.search(t)
     if m and t[: m.start()].strip():
         return ("mark", [], None, False, False, n)
     lines = [x for x in t.split("\n") if x.strip()]
     own = len(lines) > 1
     last = lines[-1].strip()
-    ellipsis = _ELLIPSIS.search(t)
-    stop = None if ellipsis else _STOP.search(t)
+    ellipsis = _ELLIPSIS.search(t) if t[-1] in ".…" else None
+    stop = None if ellipsis else _STOP.search(t, len(t.rstrip(_CLOSERS)))
     body = t[: ellipsis.start()] if ellipsis else t[: stop.start()] if stop else t
     stops = bool(stop)
     unspaced = is_unspaced(last)
@@ -208,12 +260,12 @@ def _tail(text: str | None) -> tuple:
         keys = [*_chars(body, len(body))]
     else:
         keys = [*_contexts(words, len(words) - 1), "u|" + _norm(words[-1])] if words else []
-        if words and words[-1].isalpha() and words[-1].islower() and len(words[-1]) < 7:
+        if words and words[-1].isalpha() and words[-1].islower():
             keys += [f"p|{_norm(words[-2]) if len(words) > 1 else '<s>'}|{words[-1]}", f"f|{words[-1]}"]
         if words:
             keys.append(f"v|{_norm(words[-2]) if len(words) > 1 else '<s>'}")
     line_tokens = _TOKENS.findall(last)
-    line = "l|" + _template(_kinds(line_tokens)) if own and len(line_tokens) <= 9 else None
+    line = "l|" + _template(_kinds(line_tokens)) if own and len(line_tokens) <= LINE else None
     names = [w for w in line_tokens if w[0].isalnum()]
     signature = bool(own and names and len(names) <= 5 and all(w[0].isupper() for w in names) and ("," in last or _PARTICLE.match(last)))
     # the beginning of a name that the text has in full, or a single capital letter
@@ -244,8 +296,11 @@ def _tail(text: str | None) -> tuple:
 
 
 def tail(text: str | None) -> tuple:
-    """`_tail` and the last letters, by which copies of one text count as one ending."""
-    return (*_tail(text), re.sub(r"\W", "", (text or "")[-60:]).lower()[-16:])
+    """`_tail` with texts that repeat themselves set apart, and a digest of all letters, by which copies of one text are one ending."""
+    found = _tail(text)
+    if found[0] not in ("blank", "stop") and repeated_share(working(text)[0]) >= SHARE:
+        found = ("repeats", [], None, False, False, found[-1])
+    return (*found, xxhash.xxh64_hexdigest(re.sub(r"\W", "", text or "").lower()))
 
 
 _COUNTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ends", T.LongType())])
@@ -258,31 +313,16 @@ def context_counts(texts: DataFrame, keys: DataFrame, text: str = "text") -> Dat
     shared = texts.sparkSession.sparkContext.broadcast(sketch(keys.select(F.xxhash64("key").alias("key")), bits))  # 2 ** bits bits, at most 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        asked = Asked(shared.value, bits)
-
-        def flush():
-            both: dict[str, list[int]] = {}
-            for (k, e), v in c.items():
-                x = both.setdefault(k, [0, 0])
-                x[0] += v
-                x[1] += v * e
-            c.clear()
-            for k, v in [*both.items()]:  # what a cut word may have been: beginnings of the words seen after its predecessor
-                if k[0] == "3":
-                    _, a, b = k.split("|", 2)
-                    if b.isalpha():
-                        for m in range(1, min(len(b), 7)):
-                            both.setdefault(f"p|{a}|{b[:m]}", [0, 0])[0] += v[0]
-            names = [*both]
-            wanted = asked.has(names) if names else np.zeros(0, bool)
-            names = [k for k, y in zip(names, wanted) if y]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([both[k][0] for k in names], pa.int64()), pa.array([both[k][1] for k in names], pa.int64())], names=_COUNTS.names)
+        c = CorpusCounts(Asked(shared.value, bits))
+
+        def flush() -> pa.RecordBatch:
+            both = c.flush()
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([v[0] for v in both.values()], pa.int64()), pa.array([v[1] for v in both.values()], pa.int64())], names=_COUNTS.names)
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and t.strip():
-                    c.update(corpus_counts(working(t)[0].rstrip(), asked))
+                    c.add(working(t)[0].rstrip())
                     if len(c) > 300_000:
                         yield flush()
         yield flush()
@@ -337,7 +377,12 @@ def length_hazards(lengths: DataFrame) -> DataFrame:
 
 
 def endings(essays: DataFrame) -> DataFrame:
-    """One row for every essay_id: limiter, unit, kind of ending, at_limit, broken."""
+    """One row for every essay_id: limiter, unit, kind of ending, at_limit, cause (null: not broken off), broken.
+
+    At a significant length of its limiter every ending without a final stop is broken off ('limit'). Cuts in transfer stand at
+    no length of their own; they are told by a mark of the cut, an open quotation, an abbreviation or a comma at the end, a
+    word that is cut ('fragment') or a place where the corpus goes on ('context').
+    """
     limiter = F.coalesce(F.lower(F.trim("source")), F.lower(F.trim("model")))
     allowed = F.when(F.col("source").isNull() & (F.col("generation_config.max_tokens") > 0), F.col("generation_config.max_tokens"))
 
@@ -367,15 +412,15 @@ def endings(essays: DataFrame) -> DataFrame:
     cut_word = (F.col("longer")["n"] >= 3) & (F.coalesce(F.col("k3")["n"], F.lit(0)) * 10 < F.col("longer")["n"])
     fragment = F.coalesce(cut_word, F.lit(False)) | F.col("piece") | F.exists("keys", lambda k: k.startswith("2|") & k.endswith("|w")) & (F.coalesce(F.col("u")["n"], F.lit(0)) < 2)
     formula = F.col("line").isNotNull() & ((F.coalesce(F.col("l")["ends"], F.lit(0)) >= 3) & (F.col("l")["ends"] * 2 >= F.col("l")["n"]))
-    goes_on = fragment | (F.coalesce(rate, F.lit(0.0)) < GOES_ON)
-    broken = (
-        F.when(F.col("kind").isin("blank", "repeats", "stop"), False)
-        .when(F.col("kind").isin("mark", "open", "abbreviation"), True)
-        .when(formula, False)
-        .when(F.col("kind") == "comma", True)
-        .when(F.col("kind") == "doubtful", F.coalesce(rate, F.lit(1.0)) < 0.1)
-        .when(F.col("at_limit"), True)
-        .when(F.col("signature"), False)
-        .otherwise(goes_on)
+    cause = (
+        F.when(F.col("kind").isin("blank", "repeats", "stop"), None)
+        .when(F.col("at_limit") & ~formula & (F.col("kind") != "doubtful"), "limit")
+        .when(F.col("kind").isin("mark", "open", "abbreviation"), F.col("kind"))
+        .when(formula, None)
+        .when(F.col("kind") == "comma", "comma")
+        .when(F.col("kind") == "doubtful", F.when(F.coalesce(rate, F.lit(1.0)) < 0.1, "context"))
+        .when(F.col("signature"), None)
+        .when(fragment, "fragment")
+        .when(F.coalesce(rate, F.lit(0.0)) < GOES_ON, "context")
     )
-    return e.withColumn("rate", rate).withColumn("fragment", fragment).withColumn("formula", formula).withColumn("broken", broken)
+    return e.withColumn("rate", rate).withColumn("fragment", fragment).withColumn("formula", formula).withColumn("cause", cause).withColumn("broken", cause.isNotNull())

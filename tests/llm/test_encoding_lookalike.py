@@ -1,5 +1,6 @@
 import pytest
 
+from lectern.llm import encoding
 from lectern.llm.encoding import garbling, restore
 from lectern.llm.lookalike import canonical, same_look
 
@@ -75,6 +76,24 @@ def test_intended_signs_stay(text):
     assert restore(text) == (text, False, 0)
 
 
+def test_marks_of_typography_alone_are_never_garbled():
+    marks = sorted(encoding.TYPOGRAPHY)
+    near = ["", " ", "a", "A", ".", "!", "1"]
+    texts = [x + a + y + b + z for a in marks for b in marks for x in near for y in near for z in near]
+    assert not any(h.search(t) for h in encoding._HINTS.values() for t in texts)
+    assert not any(encoding._ANY.search(t) for t in texts)
+
+
+def test_signs_need_their_characters():
+    """A sign is found in no text without one of the characters that it is said to need."""
+    chars = [chr(c) for c in [*range(0x20, 0x2600), *range(0xFF00, 0xFFFF)]]
+    for name, sign in encoding.SIGNS.items():
+        rest = [c for c in chars if not encoding._NEEDS[name].match(c)]
+        for a in "aZ 1я":
+            text = "".join(f"{a}{c}{b} {c}{c}{c} {c}{c}{c}{c} " for c in rest for b in "aZ ")
+            assert name in ("swapped_case", "no_vowels", "mixed_script") and a == "я" or not sign.search(text), name
+
+
 def test_replacement_characters_are_found():
     assert restore("Pens� en la tristeza")[1:] == (True, 1)
 

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.repetition import judged, repeated_share
+from lectern.llm.repetition import Tokens, judged, repeated_share, repeating
 from lectern.llm.sentences import sentences, split
 from lectern.llm.truncation import endings, length_hazards, tail
 
@@ -108,11 +108,38 @@ def random_text(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
 
+def test_the_band_rejects_no_text_that_repeats_two_fifths():
+    rng = random.Random(11)
+    tokens = Tokens()
+    rejected = 0
+    for n in range(600):
+        words = [rng.choice(["ba", "tolo", "mirkaded", "su"]) + rng.choice("aeiou") + str(k).translate(str.maketrans("0123456789", "bcdfghjklm")) for k in range(rng.randint(3, 60))]
+        text = []
+        for _ in range(rng.randint(1, 12)):  # new words, and stretches of three words or more that were said before
+            text += [words[rng.randrange(len(words))] for _ in range(rng.randint(1, 9))]
+            if len(text) > 8 and rng.random() < 0.7:
+                i = rng.randrange(len(text) - 4)
+                text += text[i : i + rng.randint(3, 5)]
+        row = tokens.measure(" ".join(text), True)
+        assert not (row[7] and row[8] >= 0.4)
+        rejected += row[7]
+    assert 100 < rejected < 590  # the band decides
+
+
+def test_words_have_the_tokens_they_have_in_their_text():
+    from lectern.llm.tokenizers import piece_bpe
+
+    model, _ = piece_bpe()
+    text = "ein grüner baum steht am haus и старый дом у реки naïve café"
+    assert [t for w in Tokens().of(text.split()) for t in w] == model.encode(text)
+
+
 def test_judged(spark):
     rng = random.Random(1)
     rows = [(f"n{i}", random_text(rng, 80)) for i in range(40)] + [(f"r{i}", random_text(rng, 20) + " " + "come to our shop today " * 15) for i in range(5)] + [("e", None), ("f", "  "), ("r0", rng.choice("ab"))]
     df = spark.createDataFrame([(i, "human", None, t) for i, t in rows], "essay_id string, label string, model string, text string").selectExpr("*", "1 AS script")
     found = {r["essay_id"] for r in judged(df).where("repeats").collect()}
+    assert found == {r["essay_id"] for r in repeating(df).collect()}
     assert found == {f"r{i}" for i in range(5)}
     assert judged(df.limit(0)).count() == 0
 
