@@ -74,12 +74,12 @@ def _analysed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(_analysed(spark, d)).select("essay_id", "start_char", "end_char").distinct()
+    return sentences.sentences(_analysed(spark, d), model=sentences.learn(_essays(spark, d))).select("essay_id", "start_char", "end_char").distinct()
 
 
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The ordered sentences that replace `text` in sentence_evidence."""
-    return sentences.sentences(_analysed(spark, d)).select("essay_id", "sent_index", "start_char", "end_char", F.col("sentence").alias("text"))
+    return sentences.sentences(_analysed(spark, d), model=sentences.learn(_essays(spark, d))).select("essay_id", "sent_index", "start_char", "end_char", F.col("sentence").alias("text"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Problem 5: sentence boundaries across languages and scripts.
 
-A semi-Markov dynamic programme selects whole sentence spans: every span between two candidate positions is scored by
-its length, its opening words, its closing words and the quotations and brackets it would cut, and the best chain of
-spans covers the paragraph. Garbled, invisible and other-width characters are read in their restored form while
-positions stay those of the stored text. Positions are Unicode code points, start from 0, end exclusive.
+A semi-Markov dynamic programme selects whole sentence spans. A span between two candidate positions is scored by its
+length (log-normal, as long as the sentences of its kind of script are), its opening words, its closing words, the
+quotations and brackets that its ends would cut, and whether it only names the speaker of the quotation before it; the best
+chain of spans covers the paragraph. How long sentences are, which words open them and which close them is counted over all
+texts with marks (`learn`), in a model of fixed size; texts without marks are divided by these counts alone. Garbled,
+invisible and other-width characters are read in their restored form while positions stay those of the stored text.
+Positions are Unicode code points, start from 0, end exclusive.
 
 Null, empty and blank texts give no sentence; repeated rows give repeated sentences; texts are read whole. Spans of
 any number of inner candidate positions are considered.
@@ -11,12 +14,15 @@ any number of inner candidate positions are considered.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +45,6 @@ _SPEECH = re.compile(
     r"\b(?:said|says|ask(?:ed|s)?|shout(?:ed|s)?|cried|cries|answer(?:ed|s)?|repl(?:ied|ies)|whisper(?:ed|s)?|call(?:ed|s)|yell(?:ed|s)?|mutter(?:ed|s)?|told|added|explained|insisted|wrote|thought|sagte|fragte|rief|schrie|antwortete|meinte|flüsterte|"
     r"dit|demanda|cria|crié|répondit|dijo|preguntó|gritó|respondió|сказал\w*|крикнул\w*|спросил\w*|ответил\w*|прошептал\w*)\b|[说道问喊叫答嚷]|言っ|叫ん|尋ね|聞い|答え|चिल्ला|कहा|पूछा|बोल|صرخ|قال|سأل|أجاب"
 )
-_WORD_OPENERS = re.compile(
-    r"(?:The|My|In|On|I|I'm|I’m|We|It|At|By|That|There|After|Before|Then|When|Why|What|Our|His|Her|Every|Under|For|Between|Without|With|Somewhere|Nobody|Back|To|As|Have|Dr|Mr|Ms|Der|Die|Das|Ich|Wir|Am|Nach|Warum|Welch|Ohne|Manche|Meine|Le|La|Les|Un|Une|Mon|Ma|Mes|Je|J'|Dans|Selon|Pourquoi|Quelle?|Cette|El|Los|Una|Mi|Pensé|Pasé|Aprendí|Según|Algunas|Vivió|"
-    r"Мой|Моя|Я|Мы|Какая|Почему|Без|В|Эта|Некоторые|Цена|Проф)(?=[\s.'’])"
-)
-# Words with which a phrase opens that a sentence without commas goes on after.
-_LEAD_IN = re.compile(r"(?:To|After|Between|Under|In|On|At|By|That|Every|With|Without|For|As|Halfway|Somewhere|Back|Years|Against|More|Before)\b")
 _TERMINAL = re.compile(r"(?:[.!?]+|[…]+|[。！？｡．]+|[؟۔]+|[।॥]+)(?:[.!?…。！？؟।]*)[\"”“»«’')\]」』）】〉》]*")
 _THAI = "฀-๿"
 _CLOSE = "\"”“»«’')]」』）】〉》"
@@ -123,6 +123,74 @@ def _quotes(t: str, lo: int, hi: int) -> list[tuple[int, int]]:
 
 
 _TOKEN = re.compile(r"[^\s\"“„«(\[‘]+$")
+_WORD = re.compile(r"[^\W\d_]+")
+
+#: Buckets of the word counts, and the weight and floor of a span's length: beyond the floor all spans are alike.
+BUCKETS, LENGTH_WEIGHT, LENGTH_FLOOR = 1 << 16, 0.6, -2.0
+#: Sentences of one source may be alike; others are not, so the spread is this at least.
+LEAST_SPREAD = 0.75
+#: Kinds of script that are divided alike: words between blanks, none, and Thai.
+KINDS = ("spaced", "unspaced", "thai")
+
+
+class Model:
+    """What sentences look like: log-odds that a capitalised word opens one and that a word closes one, and lengths by kind of script.
+
+    `counts` has four rows of BUCKETS counts: capitalised words at a start and within, words at an end and within.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None, lengths: dict[str, tuple[float, float]] | None = None):
+        self.lengths = {"spaced": (4.1, LEAST_SPREAD), "unspaced": (2.8, LEAST_SPREAD), "thai": (3.1, LEAST_SPREAD)} | (lengths or {})
+        self.tables = {k: self._table(*v) for k, v in self.lengths.items()}
+        self.opens = self.closes = None
+        if counts is not None:
+            c = counts.astype(np.float64)
+            total = np.maximum(c.sum(axis=1), 1.0)
+            self.opens = np.log((c[0] + 0.5) / (c[1] + 0.5)).clip(-4, 4)
+            self.closes = (np.log((c[2] + 0.5) / (c[3] + 0.5)) - np.log(total[2] / total[3])).clip(-3, 3)
+
+    @staticmethod
+    def bucket(word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & BUCKETS - 1
+
+    def opening(self, word: str) -> float:
+        return 2.0 if self.opens is None else float(self.opens[self.bucket(word)])
+
+    def closing(self, word: str) -> float:
+        return 0.0 if self.closes is None else float(self.closes[self.bucket(word)])
+
+    @staticmethod
+    def _table(mean: float, spread: float) -> tuple[list[float], int]:
+        """(scores of spans of n characters, number of characters from which on they are the floor)."""
+        far = int(math.exp(mean + spread * math.sqrt(-2 * LENGTH_FLOOR))) + 1
+        table = [LENGTH_FLOOR, *(max(LENGTH_FLOOR, -0.5 * ((math.log(n) - mean) / spread) ** 2) for n in range(1, far))]
+        return [LENGTH_WEIGHT * x for x in table], far
+
+
+def learn(texts: DataFrame, text: str = "text") -> Model:
+    """The model of all texts that have marks; expressions and a fixed number of counts (4 x BUCKETS) that reach the driver."""
+    t = F.col("__t")
+    thai = t.rlike("[ก-๛]")
+    marked = texts.select(F.col(f"`{text}`").alias("__t")).where(t.isNotNull() & (thai | (F.regexp_count(t, F.lit("[.!?。！？।؟…]")) * 400 >= F.length(t))))
+    words = (
+        r"(?:^|[.!?…][\"”»’)]{0,2}\s{1,3}[\"“«‘(]?)(\p{Lu}\p{L}*)", r"[\p{Ll},;:]\s(\p{Lu}\p{L}*)",
+        r"(?<!\p{L})(\p{L}++)[.!?…]", r"(\p{L}++)(?=,?\s+\p{L})",
+    )
+
+    def bucketed(kind: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda w: F.struct(F.lit(kind).alias("kind"), F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")))
+
+    found = F.inline(F.flatten(F.array(*[bucketed(i, p) for i, p in enumerate(words)])))
+    got = marked.select(found).groupBy("kind", "bucket").agg(F.count("*").alias("n")).toPandas()  # at most 4 x BUCKETS rows
+    counts = np.zeros((len(words), BUCKETS))
+    counts[got["kind"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["n"]
+    kind = F.when(t.rlike("[぀-ヿ一-鿿]"), "unspaced").when(thai, "thai").otherwise("spaced")
+    pieces = F.when(kind == "thai", F.split(t, "\\s+")).otherwise(F.split(t, "[.!?…।؟][\"”»’)]{0,2}\\s+|[。！？]|\\n\\s*\\n"))
+    sizes = marked.select(kind.alias("kind"), F.explode(F.transform(pieces, lambda p: F.length(F.trim(p)))).alias("n")).where("n > 1")
+    # abbreviations leave short pieces, so the spread is that above the middle
+    rows = sizes.groupBy("kind").agg(F.percentile_approx("n", [0.5, 0.84], 1000).alias("q"), F.count("*").alias("k")).collect()  # three rows
+    lengths = {r["kind"]: (math.log(r["q"][0]), max(LEAST_SPREAD, math.log(r["q"][1] / r["q"][0]))) for r in rows if r["k"] >= 30}
+    return Model(counts, lengths)
 
 
 def _closing(t: str, lo: int, end: int, bare: int, script: str) -> float:
@@ -178,7 +246,9 @@ def _opening(t: str, end: int, start: int, hi: int, script: str, lower: bool) ->
             return -9.0
     if c in "–—-":
         return -5.0
-    if c.isupper() or c in "¿¡“„«「『\"'‘([（《":
+    if c.isupper():
+        return 0.3 if lower else 1.0
+    if c in "¿¡“„«「『\"'‘([（《":
         return 1.0
     if c.islower():
         if not lower or t[end - 1] in _CLOSE and t[end - 2 : end - 1] in "!?…":
@@ -196,7 +266,7 @@ def _is_heading(line: str, nxt: str) -> bool:
     return 0 < len(words) <= 9 and len(line) <= 70 and line[-1] not in ".!?,;:…。！？、，؟।-–—" and (line[0].isupper() or not line[0].isascii()) and bool(nxt) and not nxt[0].islower()
 
 
-def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool, first: bool) -> list[tuple[int, int]]:
+def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool, first: bool, model: Model) -> list[tuple[int, int]]:
     """The best chain of spans over one paragraph."""
     cand: dict[int, tuple[int, float]] = {}  # end -> (start of the next span, score of a boundary there)
     quotes = _quotes(t, lo, hi)
@@ -225,17 +295,18 @@ def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool,
         if t[bare - 1] == "." and start == end and (t[start].isdigit() or t[start].islower() or t[start] in "@/_-"):
             continue
         score = _closing(t, lo, end, bare, script) + _opening(t, end, start, hi, script, lower)
+        if abs(score) < 1.5 and not lower and t[start].isupper():  # a mark that may stand within a sentence: the word after it tells
+            score += 0.4 * max(0.0, model.opening(_WORD.match(t, start).group()))
         if end > bare and inside(end - 1) or end > bare and any(b == end - 1 for _, b in quotes):
             k = bisect_right(opens, end - 1) - 1
             a, b = quotes[k]
             if b == end - 1 and t[a] not in "([（【":
-                tail = t[start : min(hi, start + 70)]
-                stop = _TERMINAL.search(tail)
-                tail = tail[: stop.start()] if stop else tail
+                stop = _TERMINAL.search(t, start, hi)
+                tail = t[start : stop.start() if stop else hi]
                 whole = not t[lo:a].strip() or t[:a].rstrip()[-1:] in ".!?。！？।؟…\n\"”»」" or t[a - 1 : a] == "\n"
                 if script == "japanese" and t[start] in "とっ":
                     score -= 9
-                elif whole and t[start] not in "“„«「『\"" and _SPEECH.search(" ".join(tail.split()[:7]) if " " in tail else tail):
+                elif whole and t[start] not in "“„«「『\"" and _SPEECH.search(" ".join(tail.split(None, 7)[:7]) if " " in tail else tail):
                     score -= 7
                 elif script in ("han", "japanese", "arabic", "devanagari", "thai") and not (script in ("han", "japanese") and not whole):
                     score -= 5
@@ -263,32 +334,34 @@ def _paragraph(t: str, lo: int, hi: int, script: str, lower: bool, sparse: bool,
             if end > lo and end not in cand and start < hi and t[end - 1] not in "\n" and t[start] != "\n":
                 cand[end] = (start, -9.0 if inside(end) else _thai(t, end, start))
     if sparse:
-        since = lo
         for m in re.finditer(r"\s+", t[lo:hi]):
             end, start = lo + m.start(), lo + m.end()
-            if end > lo and end not in cand and start < hi and t[end - 1].isalnum() and _WORD_OPENERS.match(t, start):
-                lead = t[since:end]
-                wait = t[start] == "I" and len(lead.split()) <= 8 and _LEAD_IN.match(lead)
-                cand[end] = (start, -1.0 if wait else 1.2)
-                since = since if wait else start
+            if end > lo and end not in cand and start < hi and t[end - 1].isalnum() and t[start].isupper() and not inside(end):
+                before = re.findall(r"[^\W_]+", t[t.rfind(" ", lo, end) + 1 or lo : end])[-1]
+                # an abbreviation without its point, an initial, the number of a day
+                if before.lower() in OPEN_ABBREVIATIONS or len(before) <= 2 and before.isupper() and before != "I" or before.isdigit() and _ORDINAL_AFTER.match(t, end):
+                    continue
+                word = _WORD.match(t, start)
+                cand[end] = (start, model.opening(word.group()) + (0.0 if before.isdigit() else model.closing(before)))
     marks = sorted(e for e in cand if lo < e < hi)
     ends = [*marks, hi]
     starts = [lo, *(cand[e][0] for e in marks)]
     n = len(ends)
+    lengths, long = model.tables["thai" if script == "thai" else "unspaced" if script in ("han", "japanese") else "spaced"]
     best = [-1e18] * (n + 1)
     back = [0] * (n + 1)
     best[0] = 0.0
-    far, top = 0, 0  # spans that begin before far are no short ones; the best of them begins at top
+    far, top = 0, 0  # spans that begin before far are long, and so alike; the best of them begins at top
     for j in range(1, n + 1):
         e = ends[j - 1]
         gain = cand[e][1] if e != hi else 0.0
-        while far < j and e - starts[far] >= 4:
+        while far < j and e - starts[far] >= long:
             top = far if best[far] > best[top] else top
             far += 1
         if far:
-            best[j], back[j] = best[top] + gain, top
+            best[j], back[j] = best[top] + gain + LENGTH_WEIGHT * LENGTH_FLOOR, top
         for i in range(far, j):
-            v = best[i] + gain - 0.6
+            v = best[i] + gain + lengths[e - starts[i]]
             if v > best[j]:
                 best[j], back[j] = v, i
     out, j = [], n
@@ -310,7 +383,7 @@ def _thai(t: str, end: int, start: int) -> float:
     return -2.0
 
 
-def split(text: str | None) -> list[tuple[int, int]]:
+def split(text: str | None, model: Model = Model()) -> list[tuple[int, int]]:
     """Sentence spans (start, end) of a text in order."""
     if not text or not text.strip():
         return []
@@ -332,7 +405,7 @@ def split(text: str | None) -> list[tuple[int, int]]:
         while b > a and t[b - 1].isspace():
             b -= 1
         if a < b:
-            spans += _paragraph(t, a, b, script, lower, sparse, first)
+            spans += _paragraph(t, a, b, script, lower, sparse, first, model)
             first = False
     if at is not None:
         spans = [(at[s], at[e]) for s, e in spans]
@@ -352,13 +425,17 @@ def split(text: str | None) -> list[tuple[int, int]]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("sentence", T.StringType())]))
 
 
-def sentences(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row for every sentence: the other columns, sent_index from 0, start_char, end_char, sentence."""
+def sentences(df: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
+    """One row for every sentence: the other columns, sent_index from 0, start_char, end_char, sentence.
+
+    `model` is what `learn` gives for the corpus; by default that of the texts themselves.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model or learn(df, text))  # 2 x BUCKETS numbers
 
     @F.pandas_udf(_SPANS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([[(a, b, t[a:b]) for a, b in split(t)] if isinstance(t, str) else [] for t in s])
+            yield pd.Series([[(a, b, t[a:b]) for a, b in split(t, shared.value)] if isinstance(t, str) else [] for t in s])
 
     keep = [c for c in df.columns if c not in ("sent_index", "start_char", "end_char", "sentence")]
     done = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(run(df[f"`{text}`"])).alias("sent_index", "__s"))

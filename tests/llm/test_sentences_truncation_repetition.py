@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm.repetition import Tokens, judged, repeated_share, repeating
-from lectern.llm.sentences import sentences, split
+from lectern.llm.sentences import Model, sentences, split
 from lectern.llm.truncation import endings, length_hazards, tail
 
 CASES = [
@@ -66,6 +66,34 @@ def test_garbled_and_invisible_characters_keep_positions():
     assert [t[a:b] for a, b in split(t)] == ["â€œWait â€“ what?â€\x9d asked Ann.", "The sign​ read no.​", "Then we left."]
 
 
+def test_the_length_of_whole_spans_decides():
+    """Without the length of spans the same boundaries are chosen otherwise."""
+    flat = Model(lengths={k: (4.0, 3.0) for k in ("spaced", "unspaced", "thai")})
+    t = "WE HAD LIVED IN THE U.S. FOR 663 WEEKS."
+    long = "THE TEACHER OF OUR SCHOOL AND MY COUSIN, WHO HAD NEVER LEFT THE VALLEY BEFORE, WERE FLOWN TO THE U.S. FOR MANY WEEKS THE HOUSE STOOD EMPTY AND NOBODY CAME BY TO SEE WHETHER ANYTHING WAS WRONG."
+    assert len(split(t)) == 1 and len(split(long)) == 2
+    assert len(split(t, flat)) == len(split(long, flat))
+
+
+def test_texts_without_marks_are_divided_by_counted_words(spark):
+    first, verbs, last = ["Every", "Nobody", "Somewhere", "Our"], ["saw Marta near the river and", "met Ivo in the old town before he", "told Dr Paz about the garden that"], ["slept", "sang", "left"]
+    rng = random.Random(8)
+    said = lambda: f"{rng.choice(first)} friend {rng.choice(verbs)} {rng.choice(last)}"
+    rows = [(i, ". ".join(said() for _ in range(8)) + ".") for i in range(80)]
+    parts = [said() for _ in range(9)]
+    df = spark.createDataFrame([*rows, (1000, " ".join(parts)), (1001, None)], "i int, text string")
+    got = [r["sentence"] for r in sentences(df).where("i = 1000").orderBy("sent_index").collect()]
+    assert got == parts
+    t = " ".join(parts)
+    assert [t[a:b] for a, b in split(t)] != parts  # without the counts they are not told apart
+
+
+@pytest.mark.parametrize("n", [150, 250, 1000])
+def test_any_number_of_rejected_marks(n):
+    t = "He met " + "Dr. Lee and " * n + "left."
+    assert split(t) == [(0, len(t))]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB .!?\n\"“”«»()…。「」ก1é​ ,-", max_size=80))
 def test_spans_cover_all_but_white_space(t):
