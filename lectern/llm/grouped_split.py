@@ -80,7 +80,9 @@ def stratify(families: list[tuple], targets: dict[str, dict[str, float]]) -> dic
                 continue
             done[i] = 1
             name, v = families[i]
-            split = max(need, key=lambda s: (need[s][label], room[s], s == "train", s))
+            size = sum(v.values())
+            # a split that is full takes no more, however rare the label
+            split = max(need, key=lambda s: (2 * room[s] >= size, need[s][label], room[s], s == "train", s))
             where[name] = split
             for k, n in v.items():
                 need[split][k] -= n
@@ -98,16 +100,17 @@ def assign(essays: DataFrame, splits: dict[str, float] | None = None, shard: int
     vectors = fam.groupBy("family_id", "label").agg(F.count("*").alias("n")).groupBy("family_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("v"), F.sum("n").alias("size"))
     vectors = cut(vectors)
     total = fam.count()
-    labels = {r["label"]: r["n"] for r in fam.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()}  # the domain of a label column, at most 1000 values are steered by
     big = [(r["family_id"], dict(r["v"])) for r in vectors.where(F.col("size") > max(1, total // 1000)).orderBy(F.desc("size"), "family_id").collect()] if total else []  # fewer than 1000 rows
+    # only labels of large families are no longer outstanding in the given proportions
+    held = sorted({k for _, v in big for k in v})
+    labels = {r["label"]: r["n"] for r in fam.where(F.col("label").isin(held)).groupBy("label").agg(F.count("*").alias("n")).collect()} if held else {}
     goal = {s: {k: share * n for k, n in labels.items()} for s, share in splits.items()}
     placed = stratify(big, goal)
     for name, v in big:
         for k, n in v.items():
-            if k in labels:
-                goal[placed[name]][k] -= n
+            goal[placed[name]][k] -= n
     shards = max(1, round(total / shard))
-    rest = sum(labels.values()) - sum(sum(v.values()) for _, v in big)
+    rest = total - sum(sum(v.values()) for _, v in big)
     need = {s: {k: max(0.0, x) for k, x in t.items()} for s, t in goal.items()}
     schema = T.StructType([T.StructField("family_id", T.StringType()), T.StructField("new_split", T.StringType())])
 

@@ -69,6 +69,14 @@ def test_assign(spark):
     assert assign(spark.createDataFrame([], ESSAY)).count() == 0
 
 
+def test_labels_of_any_number(spark):
+    """Free text as label: every value is stratified on, none is left out."""
+    rows = [(f"hum-{i:09d}", f"hum-{i // 40 * 40:09d}" if i % 40 and i < 400 else None, "train", f"label {i % 2500}", "t") for i in range(5000)]
+    out = assign(spark.createDataFrame(rows, ESSAY), shard=700).toPandas()
+    assert len(out) == 5000 and out.new_split.notna().all() and out.groupby("family_id").new_split.nunique().max() == 1
+    assert abs((out.new_split == "train").mean() - 0.7) < 0.03
+
+
 def test_one_family_holds_a_third(spark):
     rows = [(f"hum-{i:09d}", "hum-000000000" if i % 3 == 0 else None, "train" if i % 2 else "val", "human", "t") for i in range(3000)]
     df = spark.createDataFrame(rows, ESSAY)
@@ -107,6 +115,7 @@ def test_overlaps_are_all_found(spark):
     side = {s: {i: words(t) for i, t, x, _ in rows if t and (x == "train") == s and x} for s in (True, False)}
     want = {(a, b) for a, x in side[True].items() for b, y in side[False].items() if x and y and lcs(x, y) >= least(max(len(x), len(y)))}
     assert got == want and len(want) > 40
+    assert {(r["train_id"], r["eval_id"]) for r in overlaps(df, per_salt=2).collect()} == got  # hot words dealt over salts
     assert overlaps(df.limit(0)).count() == 0
 
 
