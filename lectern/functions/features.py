@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import PUNCTUATION, WS, hard_words, ratio, syllables, tokens
+from lectern.functions.text import NO_WORD, PUNCTUATION, WS, blank_words, hard_words, ratio, syllables, tokens
 
 # The sentence features in extraction order (ties in rankings follow it).
 STYLOMETRIC = ("ttr", "word_length_mean", "sent_len", "lexical_recurrence", "ngram_rep_char_3", "ngram_rep_word_2", "punct_density")
@@ -17,14 +17,15 @@ ORDER = (*STYLOMETRIC, *READABILITY, *SYNTAX, *LANGUAGE_MODEL)
 
 # Family and state of every name in the catalog.
 CATALOG = {
-    **{n: ("lexical", "implemented") for n in ("ttr", "word_length_mean", "lexical_recurrence", "mattr", "mtld")},
-    **{n: ("repetition", "implemented") for n in ("ngram_rep_char_3", "ngram_rep_word_2", "punct_density")},
+    **{n: ("lexical", "implemented") for n in ("ttr", "word_length_mean", "sent_len", "mattr", "mtld")},
+    **{n: ("repetition", "implemented") for n in ("ngram_rep_char_3", "ngram_rep_word_2", "lexical_recurrence")},
     **{n: ("readability", "implemented") for n in READABILITY},
-    **{n: ("rhythm", "implemented") for n in ("sent_len", "sent_len_mean", "sent_len_std", "sent_len_cv", "clause_density_mean")},
+    **{n: ("rhythm", "implemented") for n in ("punct_density", "sent_len_mean", "sent_len_std", "sent_len_cv", "clause_density_mean")},
     **{n: ("syntax", "implemented") for n in SYNTAX},
     **{n: ("lm", "implemented") for n in LANGUAGE_MODEL},
     **{n: ("lexical", "planned") for n in ("hdd", "rare_word_rate")},
-    **{n: ("semantic", "experimental") for n in ("self_similarity", "coherence_prev", "coherence_next", "topic_consistency")},
+    **{n: ("repetition", "experimental") for n in ("self_similarity",)},
+    **{n: ("contextual", "experimental") for n in ("coherence_prev", "coherence_next", "topic_consistency")},
 }
 
 
@@ -82,12 +83,12 @@ def stylometric(s: Column, t: Column) -> dict[str, Column]:
     }
 
 
-def readability(s: Column, t: Column) -> dict[str, Column]:
-    """Five readability grades of one sentence; 0 where it has no word. Syllables are vowel groups."""
-    w = F.size(t).cast("double")
-    syll, hard = syllables(t).cast("double"), hard_words(t).cast("double")
+def readability(s: Column, words: Column) -> dict[str, Column]:
+    """Five readability grades of one sentence with its words between blanks; 0 where it has none. Syllables are vowel groups."""
+    w = F.size(words).cast("double")
+    syll, hard = syllables(words).cast("double"), hard_words(words).cast("double")
     chars = F.length(F.regexp_replace(s, f"[{WS}]+", "")).cast("double")
-    letters = F.length(F.regexp_replace(s, "[^A-Za-z0-9]", "")).cast("double")
+    letters = F.length(F.regexp_replace(s, NO_WORD, "")).cast("double")
     some = lambda x: F.when(w > 0, x).otherwise(0.0)
     per = lambda x: F.try_divide(x, w)
     return {
@@ -101,9 +102,9 @@ def readability(s: Column, t: Column) -> dict[str, Column]:
 
 def sentence_features(sentences: DataFrame, digits: int | None = None) -> DataFrame:
     """Adds the twelve lexical and readability features to rows with a column `sentence`."""
-    withtok = sentences.withColumn("__t", tokens(F.col("sentence")))
-    cols = stylometric(F.col("sentence"), F.col("__t")) | readability(F.col("sentence"), F.col("__t"))
-    return withtok.withColumns({k: F.round(c, digits) if digits is not None else c for k, c in cols.items()}).drop("__t")
+    withtok = sentences.withColumn("__t", tokens(F.col("sentence"))).withColumn("__w", blank_words(F.col("sentence")))
+    cols = stylometric(F.col("sentence"), F.col("__t")) | readability(F.col("sentence"), F.col("__w"))
+    return withtok.withColumns({k: F.round(c, digits) if digits is not None else c for k, c in cols.items()}).drop("__t", "__w")
 
 
 def unpivot(wide: DataFrame, keys: list[str], features: tuple[str, ...]) -> DataFrame:

@@ -17,8 +17,10 @@ WS = "".join(f"\\x{{{c:X}}}" for c in WS_CODES)
 TRIM = f"^[{WS}]+|[{WS}]+\\z"
 TOKEN = "[A-Za-z0-9']+"
 # Marks that count as punctuation.
-PUNCTUATION = ".,!?;:\"'()\\[\\]{}<>\\-`"
-VOWELS = "[aeiouy]+"
+PUNCTUATION = ".,!?;:\"'()\\[\\]{}<>\\-"
+VOWELS = "[aeiouyà-æè-ïò-öøù-ýÿœ]+"
+#: What is no letter and no digit, of any script.
+NO_WORD = "[^\\p{L}\\p{N}]"
 # Lower bounds of the length buckets, in words.
 BUCKETS = (("short", 0), ("standard", 200), ("long", 500), ("xlong", 800))
 
@@ -92,6 +94,29 @@ def applied_steps(raw: Column, composed: Column) -> Column:
     return F.array_compact(F.array(*[F.when(f, s) for f, s in zip(flags, STEPS)]))
 
 
+def blank_words(c: Column) -> Column:
+    """Words between white space in lower case, without their marks; pieces without a letter or digit are none."""
+    bare = F.transform(F.split(F.lower(c), f"[{WS}]+"), lambda w: F.regexp_replace(w, NO_WORD, ""))
+    return F.filter(bare, lambda w: w != "")
+
+
+def two_decimals(c: Column) -> Column:
+    """A double with two decimals, of its exact value: ties to the even digit. Beyond 10^13 the usual format.
+
+    200 |c| is taken as an unrounded sum of two doubles (the high and low halves of c times 200), so a tie is one only where
+    the binary value is.
+    """
+    a = F.abs(c)
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    whole = a * 200.0
+    rest = (high * 200.0 - whole) + (a - high) * 200.0
+    k = F.floor(whole / 2.0)
+    over = (whole - (k * 2 + 1).cast("double")) + rest
+    n = (k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)).cast("long")
+    text = F.concat(F.when(c.cast("string").startswith("-"), "-").otherwise(""), (n / 100).cast("long").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(a < 1e13, text).otherwise(F.format_string("%.2f", c))
+
+
 def syllables(token_array: Column) -> Column:
     """Vowel groups, one at least for every word."""
     return F.aggregate(token_array, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.regexp_count(w, F.lit(VOWELS))))

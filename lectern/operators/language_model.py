@@ -1,4 +1,4 @@
-"""Token signals of a language model: the aggregation per sentence, and a count model that stands in for a neural one.
+"""Token signals of a language model: the aggregation per sentence, and count models that stand in for a neural one.
 
 The count model is a surrogate: an add-one unigram model over the tokens of the corpus, whose signals come from joins and
 windows. It makes no claim of equal values with any neural instrument; another provider may deliver the same columns.
@@ -6,7 +6,12 @@ windows. It makes no claim of equal values with any neural instrument; another p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,7 +35,7 @@ def token_signals(sentences: DataFrame, model: DataFrame, keys: list[str]) -> Da
     """(keys, log_prob, entropy, rank, top1_prob) for every token of every sentence; the first token of a document is unscored."""
     t = sentences.select(*keys, F.posexplode(tokens(F.col("sentence"))).alias("tok_idx", "token"))
     t = t.where(~((F.col("tok_idx") == 0) & (F.col(keys[-1]) == 0)))
-    return t.join(model, "token").select(*keys, "tok_idx", F.ln("p").alias("log_prob"), "entropy", F.col("rank").cast("double").alias("rank"), F.col("top1").alias("top1_prob"))
+    return _with_model(t, model).select(*keys, "tok_idx", F.ln("p").alias("log_prob"), "entropy", F.col("rank").cast("double").alias("rank"), F.col("top1").alias("top1_prob"))
 
 
 def sentence_signals(sentences: DataFrame, signals: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,3 +46,88 @@ def sentence_signals(sentences: DataFrame, signals: DataFrame, keys: list[str])
     )
     names = [c for c in g.columns if c not in keys]
     return sentences.select(*keys).join(g, keys, "left").select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+
+
+#: Tokens that make up this share of all are joined by broadcast; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.002
+
+
+def _with_model(t: DataFrame, model: DataFrame) -> DataFrame:
+    """Tokens with their rows of the model: the frequent ones, a bounded list, by broadcast, the others by shuffle."""
+    whole = model.agg(F.sum("n").alias("__all"))
+    hot = model.crossJoin(F.broadcast(whole)).where(F.col("n") > HOT_SHARE * F.col("__all")).drop("__all")
+    names = F.broadcast(hot.select("token"))
+    return t.join(F.broadcast(hot), "token").unionByName(t.join(names, "token", "left_anti").join(model, "token"))
+
+
+#: Hexadecimal digits of a token's digest that name its bucket.
+DIGITS = 5
+
+
+class CountModel:
+    """An add-one unigram model over 16 ** DIGITS buckets of tokens: fixed size, so every sentence is scored where it is."""
+
+    def __init__(self, counts: np.ndarray):
+        n = counts.astype(np.float64)
+        kinds = float((n > 0).sum())
+        whole = n.sum() + kinds
+        order = np.sort(n[n > 0])
+        p = (order + 1.0) / whole if kinds else order
+        self.log_p = np.log((n + 1.0) / max(whole, 1.0))
+        self.rank = len(order) - np.searchsorted(order, n, side="right").astype(np.float64)  # buckets with a greater count
+        self.entropy = float(-(p * np.log(p)).sum())
+        self.top1 = float((order[-1] + 1.0) / whole) if kinds else 0.0
+        self.shared: Broadcast | None = None
+
+    @classmethod
+    def learn(cls, docs: DataFrame, text: str = "text") -> CountModel:
+        """Counts of all tokens; at most 16 ** DIGITS numbers reach the driver and are broadcast."""
+        token = docs.where(F.col(text).isNotNull()).select(F.explode(tokens(F.col(text))).alias("t"))
+        got = token.groupBy(F.conv(F.substring(F.md5("t"), 1, DIGITS), 16, 10).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()
+        counts = np.zeros(16**DIGITS)
+        counts[got["b"].to_numpy(np.int64)] = got["n"].to_numpy()
+        m = cls(counts)
+        m.shared = docs.sparkSession.sparkContext.broadcast((m.log_p, m.rank, m.entropy, m.top1))
+        return m
+
+    def signals(self, token_array: Column, first: Column) -> Column:
+        """array<double> of the eight model features of a sentence; the first token of a document's first sentence is unscored, 0 without tokens."""
+        shared = self.shared
+
+        @F.pandas_udf("array<double>")
+        def run(rows: pd.Series, begins: pd.Series) -> pd.Series:
+            one = _scorer(*shared.value)
+            return pd.Series([one(t, b) for t, b in zip(rows, begins)])
+
+        return run(token_array, first)
+
+    def document_signals(self, tokens_by_sentence: Column) -> Column:
+        """array<array<double>>: the same for all sentences of a document in order."""
+        shared = self.shared
+
+        @F.pandas_udf("array<array<double>>")
+        def run(rows: pd.Series) -> pd.Series:
+            one = _scorer(*shared.value)
+            return pd.Series([[one(t, i == 0) for i, t in enumerate(r)] if r is not None else None for r in rows])
+
+        return run.asNondeterministic()(tokens_by_sentence)  # so that no filter is pushed below it, into expressions that cannot hold Python
+
+
+def _scorer(log_p: np.ndarray, rank: np.ndarray, entropy: float, top1: float):
+    """The eight features of a sentence's tokens; buckets of tokens are kept."""
+    known: dict[str, int] = {}
+
+    def one(t, begin: bool) -> list[float]:
+        b = []
+        for x in t[1:] if begin else t:
+            k = known.get(x)
+            if k is None:
+                k = known[x] = int(hashlib.md5(x.encode()).hexdigest()[:DIGITS], 16)
+            b.append(k)
+        if not b:
+            return [0.0] * 8
+        lp, r = log_p[b], rank[b]
+        mean = lp.mean()
+        return [round(float(np.exp(-mean)), 3), round(entropy, 4), 0.0, round(float(mean), 5), round(float(lp.std()), 5), round(float(r.mean()), 4), round(float(r.std()), 4), round(top1, 5)]
+
+    return one

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.arrays import bind
+from lectern.functions.features import finite
 from lectern.functions.text import ratio
+from lectern.operators.sentences import sentence_array
 
 # Window of the moving ratio, threshold of a factor, quantiles of the aggregates.
 MATTR_WINDOW, FACTOR = 50, 0.72
@@ -35,6 +40,78 @@ def build_passages(sentences: DataFrame, key: str = "doc_id", window: int = 3, s
     return rows.select(key, (F.row_number().over(W.partitionBy(key).orderBy("sent_idx")) - 1).alias("passage_idx"), F.col("sent_idx").alias("first_idx"), "sentence_indices", F.array_join("__texts", " ").alias("text"))
 
 
+def passage_array(sentences: Column, window: int = 3, stride: int = 1, bounded: bool = True) -> Column:
+    """array<struct<passage_idx, first_idx, sentence_indices, text>> of an array of sentences, within the row of its document."""
+    if window < 1 or stride < 1:
+        raise ValueError("window and stride are 1 at least")
+
+    def frames(s: Column) -> Column:
+        last = F.size(s) - window
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
+        if bounded:
+            starts = F.filter(starts, lambda i: s[i]["segment"] == s[i + (window - 1)]["segment"])
+        if stride > 1:
+            first = (lambda i: F.array_position(F.transform(s, lambda x: x["segment"]), s[i]["segment"]) - 1) if bounded else (lambda i: F.lit(0))
+            starts = F.filter(starts, lambda i: (i - first(i)) % stride == 0)
+        return F.transform(starts, lambda i, k: F.struct(
+            k.alias("passage_idx"), i.alias("first_idx"), F.sequence(i, i + (window - 1)).alias("sentence_indices"),
+            F.array_join(F.transform(F.slice(s, i + 1, F.lit(window)), lambda x: x["sentence"]), " ").alias("text"),
+        ))
+
+    return bind(sentences, frames)
+
+
+def document_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, stride: int = 1, bounded: bool = True) -> DataFrame:
+    """(key, passage_idx, first_idx, sentence_indices, text) of the passages of every document; no shuffle."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.inline(passage_array(sentence_array(F.col(text)), window, stride, bounded)))
+
+
+# Statistics of a passage's features, in their order.
+STATISTICS = ("mean", "std", "cv", "min", "max", *(f"p{round(q * 100)}" for q in QUANTILES))
+
+
+def statistics(values: Column) -> Column:
+    """struct of STATISTICS of an array of doubles without nulls; population deviation, null ratio where the mean is 0, linear quantiles."""
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+
+        def quantile(q: float) -> Column:
+            at = (n - 1) * q
+            lo = F.floor(at).cast("int")
+            return v[lo] + (v[F.least(lo + 1, n - 1)] - v[lo]) * (at - lo)
+
+        def with_mean(m: Column) -> Column:
+            std = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n)
+            return F.struct(m.alias("mean"), std.alias("std"), F.when(m != 0, std / m).alias("cv"), v[0].alias("min"), v[n - 1].alias("max"), *[quantile(q).alias(f"p{round(q * 100)}") for q in QUANTILES])
+
+        return bind(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, with_mean)
+
+    return bind(F.array_sort(values), of)
+
+
+def member_statistics(indices: Column, vectors: Column, names: Sequence[str]) -> Column:
+    """array<struct<feature, s: struct of STATISTICS>> over the vectors of the sentences at `indices`.
+
+    A feature that the first member lacks (null, or no finite value) is left out; members that lack it are passed over.
+    """
+
+    def of(rows: Column) -> Column:
+        def one(name: Column, k: Column) -> Column:
+            return F.struct(name.alias("feature"), F.when(finite(rows[0][k]), statistics(F.filter(F.transform(rows, lambda r: r[k]), finite))).alias("s"))
+
+        return F.filter(F.transform(F.array(*[F.lit(n) for n in names]), one), lambda x: x["s"].isNotNull())
+
+    return bind(F.transform(indices, lambda i: vectors[i]), of)
+
+
+def passage_values(features: Column, mattr_: Column, mtld_: Column) -> Column:
+    """array<struct<feature, ordinal, value>> of a passage: <feature>_<statistic> for all, then mattr and mtld."""
+    each = F.flatten(F.transform(features, lambda f: F.array(*[F.struct(F.concat(f["feature"], F.lit(f"_{n}")).alias("feature"), f["s"][n].alias("value")) for n in STATISTICS])))
+    both = F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in (("mattr", mattr_), ("mtld", mtld_))])
+    return F.transform(F.concat(each, both), lambda x, i: F.struct(x["feature"].alias("feature"), (i + 1).alias("ordinal"), x["value"].alias("value")))
+
+
 def aggregate_features(members: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, population deviation, its ratio to the mean (null if that is 0), extremes and quantiles of `value` by keys and feature."""
     q = F.percentile("value", F.array(*[F.lit(x) for x in QUANTILES]))
@@ -62,31 +139,25 @@ def factor_count(words: list[str]) -> float:
     return done + (len(seen) / n / FACTOR if n else 0.0)
 
 
-@F.pandas_udf(T.DoubleType())
-def mtld(tokens: pd.Series) -> pd.Series:
-    """Mean factor count of both directions over token arrays; a sequential fold, so it runs on Arrow batches."""
-
-    def one(t) -> float:
-        if t is None or not len(t):
-            return 0.0
-        words = list(t)
-        return (factor_count(words) + factor_count(words[::-1])) / 2
-
-    return pd.Series(np.array([one(t) for t in tokens], dtype=np.float64))
+def both_ways(t) -> float:
+    """Mean factor count of both directions; 0 without tokens."""
+    if t is None or not len(t):
+        return 0.0
+    words = list(t)
+    return (factor_count(words) + factor_count(words[::-1])) / 2
 
 
-def mtld_fold(t: Column) -> Column:
-    """The same as an expression; quadratic in passages without repetition, kept as a specification."""
+@F.pandas_udf(T.DoubleType())
+def mtld(tokens: pd.Series) -> pd.Series:
+    """`both_ways` over token arrays; a sequential fold, so it runs on Arrow batches."""
+    return pd.Series(np.array([both_ways(t) for t in tokens], dtype=np.float64))
 
-    def one(a: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("l"), F.array().cast("array<string>").alias("s"))
 
-        def step(st: Column, x: Column) -> Column:
-            s = F.array_union(st["s"], F.array(x))
-            n = st["l"] + 1
-            closed = F.struct((st["c"] + 1.0).alias("c"), F.lit(0).alias("l"), F.array().cast("array<string>").alias("s"))
-            return F.when(F.size(s) / n <= FACTOR, closed).otherwise(F.struct(st["c"].alias("c"), n.alias("l"), s.alias("s")))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def mtld_of_each(token_lists: pd.Series) -> pd.Series:
+    """The same for every token array of an array of them."""
+    return pd.Series([[both_ways(t) for t in lists] if lists is not None else None for lists in token_lists])
 
-        return F.aggregate(a, zero, step, lambda st: st["c"] + F.when(st["l"] > 0, F.size(st["s"]) / st["l"] / FACTOR).otherwise(0.0))
 
-    return (one(t) + one(F.reverse(t))) / 2.0
+#: Filters inferred from an explode must not be pushed below it, into expressions that cannot hold Python.
+mtld_of_each = mtld_of_each.asNondeterministic()

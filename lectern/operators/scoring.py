@@ -7,18 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import bind
 from lectern.functions.features import ORDER, finite
+from lectern.functions.text import two_decimals
 
 # Levels of |z|, and the order in which a missing bucket is replaced.
 HIGH, MEDIUM = 2.0, 1.0
 FALLBACK = ("long", "standard", "short")
 # The limitations stated with every analysis.
 LIMITATIONS = (
-    "Signals describe how text differs from a reference distribution; they do not identify an author.",
-    "Short texts and single sentences vary widely; treat isolated signals with caution.",
-    "Baselines were computed from {n} human essays of dataset {version}; other populations may differ.",
-    "Non-native and edited writing can differ from the baseline for ordinary reasons.",
-    "Model-based signals depend on the instrument that produced them.",
+    "This analysis measures machine-like writing signals using statistical and language-model measurements; it is evidence, not a claim of authorship.",
+    "The language model is an instrument for measurable token signals only; it never judges whether text was written by an AI.",
+    "Human baselines come from the training split of dataset {version} ({n} human admissions essays); behavior on other populations is unknown and may differ.",
+    "Features without a baseline distribution are not scored; evidence covers only features comparable to the human sample.",
+    "Short, heavily edited, or second-language essays can produce unusual signals for reasons unrelated to AI writing.",
 )
 
 
@@ -55,7 +57,7 @@ def score(values: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame
 
 
 def signal_summary(feature: Column, value: Column, mean: Column, std: Column, z: Column) -> Column:
-    head = F.concat(feature, F.lit(": "), F.format_string("%.2f", value), F.lit(" (human baseline: "), F.format_string("%.2f", mean), F.lit(" ± "), F.format_string("%.2f", std), F.lit(") — "))
+    head = F.concat(feature, F.lit(": "), two_decimals(value), F.lit(" (human baseline: "), two_decimals(mean), F.lit(" ± "), two_decimals(std), F.lit(") — "))
     tail = (
         F.when(z.isNull(), "uncertain because baseline variance unavailable")
         .when(F.abs(z) < MEDIUM, "within the typical human baseline range")
@@ -65,34 +67,78 @@ def signal_summary(feature: Column, value: Column, mean: Column, std: Column, z:
     return F.concat(head, tail)
 
 
-def unit_level(n: Column, high: Column, medium: Column) -> Column:
-    """The most severe signal decides; a unit with only uncertain signals is low, one without signals uncertain."""
-    return F.when(n == 0, "uncertain").when(high > 0, "high").when(medium > 0, "medium").otherwise("low")
+def stats_by_bucket(baselines: DataFrame) -> DataFrame:
+    """(baseline_bucket, stats) with stats a map from feature to its mean and deviation: one row for each of four buckets."""
+    entry = F.struct(F.col("feature"), F.struct(F.col("mean_value").alias("mean"), F.col("std_value").alias("std")))
+    return baselines.groupBy(F.col("bucket").alias("baseline_bucket")).agg(F.map_from_entries(F.collect_list(entry)).alias("stats"))
+
+
+def score_values(values: Column, stats: Column) -> Column:
+    """Signals of an array of struct(feature, ordinal, value) against a map of distributions, ranked by |z| to nine decimals (ties in the order of extraction).
+
+    Features without a distribution and values that are not finite drop out.
+    """
+
+    def scored(x: Column) -> Column:
+        return bind(z_score(x["value"], x["st"]["mean"], x["st"]["std"]), lambda z: F.struct(
+            (-F.round(F.abs(F.coalesce(z, F.lit(0.0))), 9)).alias("rank"), x["ordinal"].alias("ordinal"), x["feature"].alias("feature"), x["value"].alias("value"),
+            x["st"]["mean"].alias("baseline_mean"), x["st"]["std"].alias("baseline_std"), z.alias("z_score"), direction(z).alias("direction"), level(z).alias("evidence"),
+        ))
+
+    known = F.transform(values, lambda x: F.struct(x["feature"].alias("feature"), x["ordinal"].alias("ordinal"), x["value"].alias("value"), F.element_at(stats, x["feature"]).alias("st")))
+    return F.array_sort(F.transform(F.filter(known, lambda x: finite(x["value"]) & x["st"].isNotNull()), scored))
+
+
+def named_values(vector: Column, names: tuple[str, ...] = ORDER) -> Column:
+    """array<struct<feature, ordinal, value>> of a vector in the order of `names`."""
+    n = F.array(*[F.lit(x) for x in names])
+    return F.transform(vector, lambda v, i: F.struct(n[i].alias("feature"), (i + 1).alias("ordinal"), v.alias("value")))
 
 
-def units(all_units: DataFrame, signals: DataFrame, keys: list[str], kind: str = "sentence", index: str = "sent_idx") -> DataFrame:
-    """One row for every unit: its signals ranked by |z| (ties in feature order), counts, level and summary."""
-    ranked = signals.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(F.col("evidence") == "high").alias("high"), F.count_if(F.col("evidence") == "medium").alias("medium"),
-        F.array_sort(F.collect_list(F.struct((-F.abs(F.coalesce("z_score", F.lit(0.0)))).alias("rank"), "ordinal", "feature", "value", "baseline_mean", "baseline_std", "z_score", "direction", "evidence"))).alias("signals"),
-    )
-    u = all_units.join(ranked, keys, "left").fillna(0, ["n", "high", "medium"])
-    top = F.element_at("signals", 1)
-    flagged = F.col("high") + F.col("medium")
-    at = F.concat(F.lit(f"{kind} "), F.col(index).cast("string"), F.lit(": "))
+def score_rows(rows: DataFrame, baselines: DataFrame, values: Column) -> DataFrame:
+    """Adds `signals` to rows with baseline_bucket, in place: the distributions are four rows and are broadcast."""
+    j = rows.join(F.broadcast(stats_by_bucket(baselines)), "baseline_bucket", "left")
+    none = F.create_map().cast("map<string,struct<mean:double,std:double>>")
+    return j.withColumn("stats", F.coalesce("stats", none)).withColumn("signals", score_values(values, F.col("stats"))).drop("stats")
+
+
+def unit_columns(signals: Column, kind: str, index: Column) -> dict[str, Column]:
+    """signal_count (flagged), scored_count, evidence_strength, summary and top_feature of a unit with its ranked signals."""
+    n = F.size(signals)
+    of = lambda x: F.size(F.filter(signals, lambda s: s["evidence"] == x))
+    high, medium = of("high"), of("medium")
+    return _unit_columns(n, high, medium, F.get(signals, F.lit(0)), kind, index)
+
+
+def _unit_columns(n: Column, high: Column, medium: Column, top: Column, kind: str, index: Column) -> dict[str, Column]:
+    flagged = high + medium
+    at = F.concat(F.lit(f"{kind} "), index.cast("string"), F.lit(": "))
     text = (
-        F.when(F.col("n") == 0, F.concat(at, F.lit("no features could be compared (baseline distribution unavailable)")))
-        .when(flagged == 0, F.concat(at, F.lit("all "), F.col("n").cast("string"), F.lit(" scored features fall within the typical human baseline range")))
-        .otherwise(F.concat(at, flagged.cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" scored features show machine-like signals (top: "), top["feature"], F.lit(" "), top["direction"], F.lit(" than the human baseline)")))
+        F.when(n == 0, F.concat(at, F.lit("no features could be compared (baseline distribution unavailable)")))
+        .when(flagged == 0, F.concat(at, F.lit("all "), n.cast("string"), F.lit(" scored features fall within the typical human baseline range")))
+        .otherwise(F.concat(at, flagged.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" scored features show machine-like signals (top: "), top["feature"], F.lit(" "), top["direction"], F.lit(" than the human baseline)")))
     )
-    return u.select(*all_units.columns, F.col("n").alias("signal_count"), flagged.alias("flagged"), unit_level(F.col("n"), F.col("high"), F.col("medium")).alias("evidence_strength"), text.alias("summary"), F.when(F.col("n") > 0, top["feature"]).alias("top_feature"), "signals")
+    return {"signal_count": flagged.cast("long"), "scored_count": n.cast("long"), "evidence_strength": unit_level(n, high, medium), "summary": text, "top_feature": F.when(n > 0, top["feature"])}
+
+
+def signal_dicts(signals: Column) -> Column:
+    """The signals as they are delivered: without ranks, each with its summary."""
+    return F.transform(signals, lambda s: F.struct(
+        s["feature"].alias("feature"), s["value"].alias("value"), s["baseline_mean"].alias("baseline_mean"), s["baseline_std"].alias("baseline_std"), s["z_score"].alias("z_score"),
+        s["direction"].alias("direction"), s["evidence"].alias("evidence"), signal_summary(s["feature"], s["value"], s["baseline_mean"], s["baseline_std"], s["z_score"]).alias("summary"),
+    ))
+
+
+def unit_level(n: Column, high: Column, medium: Column) -> Column:
+    """The most severe signal decides; a unit with only uncertain signals is low, one without signals uncertain."""
+    return F.when(n == 0, "uncertain").when(high > 0, "high").when(medium > 0, "medium").otherwise("low")
 
 
 def display_signals(units_: DataFrame, keys: list[str], flagged: int = 5, typical: int = 3) -> DataFrame:
     """The signals a unit shows first: up to five that are not low, else up to three."""
     loud = F.filter("signals", lambda s: s["evidence"] != "low")
     shown = F.when(F.size(loud) > 0, F.slice(loud, 1, flagged)).otherwise(F.slice("signals", 1, typical))
-    return units_.where("signal_count > 0").select(*keys, F.posexplode(shown).alias("position", "s")).select(*keys, F.col("position"), "s.feature", "s.evidence", "s.z_score")
+    return units_.where("scored_count > 0").select(*keys, F.posexplode(shown).alias("position", "s")).select(*keys, F.col("position"), "s.feature", "s.evidence", "s.z_score")
 
 
 def level_counts(units_: DataFrame, key: str) -> DataFrame:

@@ -1,38 +1,49 @@
-"""Rule-based sentence spans, paragraph breaks and segments; a hook for other splitters."""
+"""Rule-based sentence spans, paragraph breaks and segments, computed within the row of their document; a hook for other splitters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import bind, sums_before
 from lectern.functions.text import WS, strip
 
 #: Pieces tile the text: a run without a stop and the stops after it.
 PIECE = "[^.!?]+[.!?]*|[.!?]+"
 
 
-def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent_idx, start, end, sentence, is_break, segment) for every non-empty sentence.
+def sentence_array(text: Column) -> Column:
+    """array<struct<sent_idx, start, end, sentence, is_break, segment>> of the non-empty sentences of a text; null for null."""
+
+    def placed(pieces: Column) -> Column:
+        def one(raw: Column, before: Column) -> Column:
+            lead = F.regexp_extract(raw, f"^([{WS}]*)", 1)
+            return bind(
+                F.struct(lead.alias("lead"), strip(raw).alias("sentence")),
+                lambda x: F.struct((before + F.length(x["lead"])).alias("start"), x["sentence"].alias("sentence"), (F.regexp_count(x["lead"], F.lit("\\n")) >= 2).alias("gap")),
+            )
+
+        return F.filter(F.zip_with(pieces, sums_before(F.transform(pieces, F.length)), one), lambda x: x["sentence"] != "")
+
+    def numbered(rows: Column) -> Column:
+        breaks = F.transform(rows, lambda x, i: ((i == 0) | x["gap"]).cast("int"))
+        return bind(F.struct(breaks.alias("b"), sums_before(breaks).alias("s")), lambda k: F.transform(rows, lambda x, i: F.struct(
+            i.alias("sent_idx"), x["start"].cast("long").alias("start"), (x["start"] + F.length(x["sentence"])).cast("long").alias("end"), x["sentence"].alias("sentence"),
+            (k["b"][i] == 1).alias("is_break"), (k["s"][i] + k["b"][i] - 1).alias("segment"),
+        )))
+
+    return F.when(text.isNotNull(), bind(bind(F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1)), placed), numbered))
+
+
+def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, columns to keep, sent_idx, start, end, sentence, is_break, segment) for every non-empty sentence; no shuffle.
 
     A sentence starts a paragraph if it is the first or if two newlines at least lie in the white space just before it.
     Null and empty texts have no sentence.
     """
-    pieces = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({PIECE})"), F.lit(1))).alias("__p", "__raw"))
-    w = W.partitionBy(key).orderBy("__p")
-    spans = (
-        pieces.withColumn("__from", F.coalesce(F.sum(F.length("__raw")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("sentence", strip(F.col("__raw")))
-        .withColumn("__lead", F.regexp_extract("__raw", f"^([{WS}]*)", 1))
-        .where("sentence <> ''")
-    )
-    spans = spans.withColumn("start", F.col("__from") + F.length("__lead")).withColumn("end", F.col("start") + F.length("sentence"))
-    spans = spans.withColumn("sent_idx", F.row_number().over(w) - 1)
-    spans = spans.withColumn("is_break", (F.col("sent_idx") == 0) | (F.length(F.regexp_replace("__lead", "[^\\n]", "")) >= 2))
-    spans = spans.withColumn("segment", F.sum(F.col("is_break").cast("int")).over(w) - 1)
-    return spans.select(key, F.col("sent_idx").cast("int"), F.col("start").cast("long"), F.col("end").cast("long"), "sentence", "is_break", F.col("segment").cast("int"))
+    return docs.where(F.col(text).isNotNull()).select(key, *keep, F.inline(sentence_array(F.col(text))))
 
 
 #: A splitter turns (documents, key, text) into the rows above.

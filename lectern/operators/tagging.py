@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import bind
 from lectern.functions.features import POS_TAGS
 from lectern.functions.text import PUNCTUATION
 
@@ -39,12 +40,26 @@ def tag(unit: Column) -> Column:
     return out.when(unit.rlike("^[A-Z]"), "PROPN").otherwise("NOUN")
 
 
+def tags(sentence: Column) -> Column:
+    """struct(units in lower case, tags) of a sentence."""
+    return bind(F.regexp_extract_all(sentence, F.lit(UNIT), F.lit(1)), lambda u: F.struct(F.transform(u, F.lower).alias("units"), F.transform(u, tag).alias("tags")))
+
+
+def _share(tagged: Column, name: str, n: Column) -> Column:
+    return F.size(F.filter(tagged["tags"], lambda x: x == name)) / n
+
+
+def syntax(tagged: Column) -> dict[str, Column]:
+    """Shares of the classes, their entropy and the number of clauses of a sentence with its units and tags; null without a unit."""
+    n = F.nullif(F.size(tagged["tags"]), F.lit(0))
+    out = {f"pos_{t}": _share(tagged, t, n) for t in POS_TAGS}
+    kinds = F.transform(F.array_distinct(tagged["tags"]), lambda t: F.size(F.filter(tagged["tags"], lambda x: x == t)) / n)
+    out["pos_entropy"] = F.when(n.isNotNull(), F.aggregate(kinds, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    out["clause_density"] = F.when(n.isNotNull(), (F.size(F.filter(tagged["units"], lambda u: u.isin(*CLAUSE_OPENERS))) + 1).cast("double"))
+    return out
+
+
 def tag_shares(sentences: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """(keys, pos_* shares, pos_entropy, clause_density) of every sentence with a unit."""
-    u = sentences.select(*keys, F.explode(F.regexp_extract_all("sentence", F.lit(UNIT), F.lit(1))).alias("unit"))
-    u = u.withColumn("tag", tag(F.col("unit")))
-    n = F.count("*")
-    g = u.groupBy(*keys).agg(*[(F.count_if(F.col("tag") == t) / n).alias(f"pos_{t}") for t in POS_TAGS], (F.lit(1.0) + F.count_if(F.lower("unit").isin(*CLAUSE_OPENERS))).alias("clause_density"))
-    h = reduce(lambda acc, t: acc - F.when(F.col(f"pos_{t}") > 0, F.col(f"pos_{t}") * F.log2(f"pos_{t}")).otherwise(0.0), POS_TAGS, F.lit(0.0))
-    g = g.withColumn("pos_entropy", h)
-    return g.select(*keys, *[F.round(c, digits).alias(c) for c in g.columns if c not in keys])
+    """(keys, pos_* shares, pos_entropy, clause_density) of every sentence with a unit, within its row."""
+    t = sentences.select(*keys, tags(F.col("sentence")).alias("__t")).where(F.size("__t.tags") > 0)
+    return t.select(*keys, *[F.round(c, digits).alias(k) for k, c in syntax(F.col("__t")).items()])

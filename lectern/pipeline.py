@@ -2,58 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.features import READABILITY, STYLOMETRIC, sentence_features, unpivot
+from lectern.functions.arrays import bind
 from lectern.operators import baselines as bl
 from lectern.operators import dataset as ds
 from lectern.operators import scoring as sc
-from lectern.operators.passages import aggregate_features, build_passages, mattr, mtld
-from lectern.operators.sentences import Splitter, split_sentences
+from lectern.operators.language_model import CountModel
+from lectern.operators.passages import mattr, member_statistics, mtld_of_each, passage_array, passage_values
+from lectern.operators.sentences import Splitter, sentence_array, split_sentences
+from lectern.operators.vectors import ALL, TEXTUAL, long_values, text_vector, with_vectors
 from lectern.session import cut
 from lectern.sources import ingest as ig
 
-LEXICAL = (*STYLOMETRIC, *READABILITY)
-FEATURE_VERSION, BASELINE_WORDS_CAP = "f0.3.0", 1024
+FEATURE_VERSION, MODEL_VERSION, WINDOW_TOKENS = "f0.3.0", "0.1.0", 1024
+#: Features of the text of a sentence that exist without a parser.
+FEATURES = tuple(n for n in TEXTUAL if n != "dep_depth_mean")
+
+
+def sentence_matrix(docs: DataFrame, key: str = "doc_id", splitter: Splitter = split_sentences, model: CountModel | None = None, digits: int | None = None) -> DataFrame:
+    """Sentences with their `vector`: features of their text, and those of the count model if one is given."""
+    return with_vectors(splitter(docs, key, "text"), model, digits)
+
+
+def _document(docs: DataFrame, key: str, keep: Sequence[str], model: CountModel | None, digits: int | None, window: int, stride: int) -> DataFrame:
+    """(key, columns to keep, s: sentences, v: their vectors, p: passages with their values), all within the row of a document."""
+    d = docs.select(key, *keep, sentence_array(F.col("text")).alias("s"))
+    d = d.withColumn("p", passage_array(F.col("s"), window, stride))
+    d = d.withColumn("lists", F.transform("p", lambda p: tx.tokens(p["text"])))
+    d = d.withColumn("mtld", mtld_of_each("lists"))
+    v = F.transform("s", lambda x: text_vector(x["sentence"], digits))
+    if model is not None:
+        d = d.withColumn("lm", model.document_signals(F.transform("s", lambda x: tx.tokens(x["sentence"]))))
+        v = F.zip_with(v, "lm", lambda a, b: F.concat(a, b))
+    d = d.withColumn("v", v)
+    names = ALL if model is not None else TEXTUAL
+    values = F.transform("p", lambda p, i: F.struct(
+        p["passage_idx"].alias("passage_idx"), p["sentence_indices"].alias("sentence_indices"), p["text"].alias("text"),
+        passage_values(member_statistics(p["sentence_indices"], F.col("v"), names), mattr(F.col("lists")[i]), F.col("mtld")[i]).alias("values"),
+    ))
+    return d.select(key, *keep, "s", "v", values.alias("p"))
 
 
-def sentence_matrix(docs: DataFrame, key: str = "doc_id", splitter: Splitter = split_sentences) -> DataFrame:
-    """Sentences with their features: one wide row for each."""
-    return sentence_features(splitter(docs, key, "text"))
+def passage_rows(docs: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), model: CountModel | None = None, digits: int | None = None, window: int = 3, stride: int = 1) -> DataFrame:
+    """(key, columns to keep, passage_idx, sentence_indices, text, values) of the passages of every document; no shuffle."""
+    return _document(docs, key, keep, model, digits, window, stride).select(key, *keep, F.inline("p"))
 
 
-def passage_matrix(sentences: DataFrame, key: str = "doc_id", window: int = 3, stride: int = 1) -> DataFrame:
-    """Long rows (key, passage_idx, feature, statistics) of passages, with mattr and mtld of their text as further features."""
-    p = build_passages(sentences, key, window, stride)
-    long = unpivot(sentences, [key, "sent_idx"], LEXICAL)
-    a = aggregate_features(p.select(key, "passage_idx", F.explode("sentence_indices").alias("sent_idx")).join(long, [key, "sent_idx"]), [key, "passage_idx"])
-    t = p.select(key, "passage_idx", tx.tokens(F.col("text")).alias("t"))
-    whole = t.select(key, "passage_idx", F.inline(F.array(F.struct(F.lit("mattr").alias("feature"), mattr(F.col("t")).alias("mean")), F.struct(F.lit("mtld").alias("feature"), mtld(F.col("t")).alias("mean")))))
-    return a.unionByName(whole, allowMissingColumns=True)
+# What is said of a text that cannot be analysed.
+EMPTY, LONG, NO_WORDS, NO_SENTENCES, WINDOW = "text must not be empty", "text is too long", "text contains no words", "text contains no sentences", "text exceeds the token window of the instrument"
 
 
-def guard(docs: DataFrame, most_chars: int = ds.REQUEST_CHARS) -> DataFrame:
-    """Adds `error`: why a text cannot be analysed, or null."""
+def guard(docs: DataFrame, most_chars: int = ds.REQUEST_CHARS, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+    """Adds `error`: why a text cannot be analysed, or null. Tokens are those of the count model."""
     t = F.col("text")
-    return docs.withColumn("error", F.when(tx.is_blank(t), "text is empty").when(F.length(t) > most_chars, "text is too long").when(F.size(tx.tokens(t)) == 0, "text has no words"))
-
-
-def analyze(docs: DataFrame, baselines: DataFrame, key: str = "doc_id", version: str = "v0.1.0", essays_behind: int = 0, most_chars: int = ds.REQUEST_CHARS) -> DataFrame:
-    """One row for every document: error, counts, buckets, sentences with their evidence (nested), limitations."""
-    g = guard(docs.select(key, "text"), most_chars)
-    ok = sc.resolve_buckets(g.where("error IS NULL").withColumn("word_count", F.size(tx.tokens(F.col("text"))).cast("long")).withColumn("bucket", tx.length_bucket(F.col("word_count"))), baselines)
-    s = sentence_matrix(ok, key)
-    values = unpivot(s, [key, "sent_idx"], LEXICAL).join(ok.select(key, "baseline_bucket"), key)
-    units = sc.units(s.select(key, "sent_idx", "start", "end", "sentence"), sc.score(values, baselines, [key, "sent_idx"]), [key, "sent_idx"])
-    per = units.groupBy(key).agg(
-        F.count("*").alias("sentence_count"), F.count_if(F.col("evidence_strength") == "uncertain").alias("uncertain"), F.count_if(F.col("evidence_strength").isin("high", "medium")).alias("signal_sentences"),
-        F.array_sort(F.collect_list(F.struct("sent_idx", "start", "end", "sentence", "evidence_strength", "signal_count", "summary", "signals"))).alias("sentences"),
+    n = F.size(tx.tokens(t))
+    none = F.size(F.regexp_extract_all(t, F.lit("([^\\s.!?])"), F.lit(1))) == 0
+    return docs.withColumn("error", F.when(tx.is_blank(t), EMPTY).when(F.length(t) > most_chars, LONG).when(n == 0, NO_WORDS).when(none, NO_SENTENCES).when(n > window_tokens, WINDOW))
+
+
+def error_envelope(status: Column, message: Column, details: Column | None = None) -> Column:
+    """struct(status, code, message, details) of an answer that is an error; null where the status is 200."""
+    code = F.when(status == 422, "VALIDATION_ERROR").when(status == 429, "RATE_LIMITED").when(status == 503, "MODEL_UNAVAILABLE").otherwise("INTERNAL_ERROR")
+    shown = F.when((code == "INTERNAL_ERROR"), "An unexpected error occurred.").otherwise(message)
+    return F.when(status != 200, F.struct(status.alias("status"), code.alias("code"), shown.alias("message"), (details if details is not None else F.lit(None).cast("string")).alias("details")))
+
+
+def analyze(
+    docs: DataFrame, baselines: DataFrame, model: CountModel | None = None, key: str = "doc_id", version: str = "v0.1.0", essays_behind: int = 0,
+    most_chars: int = ds.REQUEST_CHARS, window_tokens: int = WINDOW_TOKENS, window: int = 3, stride: int = 1, digits: int | None = None,
+) -> DataFrame:
+    """One row for every document: error, counts, buckets, summary, sentences and passages with their evidence, limitations.
+
+    Everything is computed within the row of a document; only the distributions, a few rows, are broadcast.
+    """
+    g = guard(docs.select(key, "text"), most_chars, window_tokens)
+    text = F.when(F.col("error").isNull(), F.col("text"))
+    g = g.withColumn("text", text).withColumn("word_count", F.size(tx.tokens(text)).cast("long")).withColumn("bucket", tx.length_bucket(F.col("word_count")))
+    g = sc.resolve_buckets(g.withColumn("word_count", F.when(F.col("error").isNull(), F.col("word_count"))).withColumn("bucket", F.when(F.col("error").isNull(), F.col("bucket"))), baselines)
+    d = _document(g, key, ["error", "word_count", "bucket", "baseline_bucket"], model, digits, window, stride)
+    none = F.create_map().cast("map<string,struct<mean:double,std:double>>")
+    d = d.join(F.broadcast(sc.stats_by_bucket(baselines)), "baseline_bucket", "left").withColumn("stats", F.coalesce("stats", none))
+    names = ALL if model is not None else TEXTUAL
+
+    def unit(head: list[Column], values: Column, kind: str, index: Column) -> Column:
+        def with_signals(x: Column) -> Column:
+            u = sc.unit_columns(x, kind, index)
+            return F.struct(*head, sc.signal_dicts(x).alias("signals"), *[u[k].alias(k) for k in ("signal_count", "scored_count", "evidence_strength", "summary")])
+
+        return bind(sc.score_values(values, F.col("stats")), with_signals)
+
+    sentences = F.zip_with("s", "v", lambda s, v: unit([s["sent_idx"].alias("index"), s["start"].alias("start"), s["end"].alias("end"), s["sentence"].alias("text")], sc.named_values(v, names), "sentence", s["sent_idx"]))
+    passages = F.transform("p", lambda p: unit([p["sentence_indices"].alias("sentence_indices")], p["values"], "passage", p["passage_idx"]))
+    d = d.select(key, "error", "word_count", "bucket", "baseline_bucket", sentences.alias("sentences"), passages.alias("passages"))
+    n = lambda x: F.size(F.filter("sentences", lambda s: s["evidence_strength"] == x)).cast("long")
+    counts = [n(x).alias(x) for x in ("high", "medium", "low", "uncertain")]
+    summary = F.struct(F.size("sentences").cast("long").alias("sentence_count"), (n("high") + n("medium")).alias("signal_sentences"), *counts)
+    d = d.withColumn("summary", F.when(F.col("error").isNull(), summary))
+    lim = sc.limitations(F.lit(essays_behind), F.lit(version), F.col("bucket"), F.col("baseline_bucket"), F.col("summary.uncertain"), F.col("summary.sentence_count"))
+    return d.withColumn("limitations", F.when(F.col("error").isNull(), lim)).withColumn("feature_version", F.lit(FEATURE_VERSION))
+
+
+def response(analysed: DataFrame, key: str = "doc_id", model_version: str = MODEL_VERSION, baselines_version: str = "1.0", dataset_version: str = "v0.1.0") -> DataFrame:
+    """(key, status, document): the answer to each text as JSON, with an id and the time; errors in their envelope."""
+    status = F.when(F.col("error").isNull(), 200).otherwise(422)
+    body = F.struct(
+        F.regexp_replace(F.expr("uuid()"), "-", "").alias("analysis_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), "feature_version",
+        F.lit(model_version).alias("model_version"), F.lit(baselines_version).alias("baselines_version"), F.lit(dataset_version).alias("dataset_version"),
+        F.col("word_count").alias("essay_word_count"), F.col("word_count").alias("essay_token_count"), F.col("bucket").alias("length_bucket"), "baseline_bucket", "summary", "sentences", "passages", "limitations",
     )
-    out = g.select(key, "error").join(ok.select(key, "word_count", "bucket", "baseline_bucket"), key, "left").join(per, key, "left")
-    lim = sc.limitations(F.lit(essays_behind), F.lit(version), F.col("bucket"), F.col("baseline_bucket"), F.col("uncertain"), F.col("sentence_count"))
-    return out.withColumn("limitations", F.when(F.col("error").isNull(), lim)).withColumn("feature_version", F.lit(FEATURE_VERSION))
+    document = F.when(status == 200, F.to_json(body, {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(error_envelope(status, F.col("error")).alias("error"))))
+    return analysed.select(key, status.alias("status"), document.alias("document"))
 
 
 def build_dataset(records: DataFrame, folder: str, version: str, seed: int = 42, holdout_models: tuple[str, ...] = ()) -> DataFrame:
@@ -73,14 +136,49 @@ def build_dataset(records: DataFrame, folder: str, version: str, seed: int = 42,
     return out
 
 
-def dataset_baselines(spark: SparkSession, folder: str, out: str, most: int = 500, seed: int = 42, min_n: int = bl.MIN_N) -> str:
-    """Reference distributions of the human training essays of a built dataset; writes the artifact and returns its path."""
-    e = ig.read_dataset(spark, folder)
-    e = e.where((F.col("label") == "human") & (F.col("split") == "train"))
+#: Turns essays (essay_id, text, bucket) into rows (essay_id, sent_idx, bucket, vector) with names of the vector's features.
+Extractor = Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]
+
+
+def text_extractor(essays: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The features of sentences and of a count model learnt from the essays."""
+    return with_vectors(split_sentences(essays, "essay_id", keep=["bucket"]), CountModel.learn(essays)), ALL
+
+
+def dataset_baselines(
+    spark: SparkSession, folder: str, out: str, most: int = 500, seed: int = 42, min_n: int = bl.MIN_N, extractor: Extractor = text_extractor,
+    window_tokens: int = WINDOW_TOKENS, progress: Callable[[str, int], None] | None = None,
+) -> str:
+    """Reference distributions of the human training essays of a built dataset; writes artifact and report, returns the artifact's path.
+
+    `progress` is told the name of each stage and its number of rows.
+    """
+    told = progress or (lambda stage, n: None)
+    every = ig.read_dataset(spark, folder)
+    not_human, not_train, kept = ds.eligible(every)
+    seen = every.agg(F.count("*").alias("records"), F.count_if(not_human).alias("not_human"), F.count_if(not_train).alias("not_train"), F.count_if(kept).alias("kept")).first()
+    e = every.where((F.col("label") == "human") & (F.col("split") == "train"))
     sample = ds.stratified_sample(e, most, seed).select("essay_id")
-    e = cut(e.join(sample, "essay_id", "left_semi").where(F.size(tx.tokens(F.col("text"))) <= BASELINE_WORDS_CAP).select("essay_id", "text", tx.length_bucket(F.col("length_words")).alias("bucket")))
-    s = cut(sentence_matrix(e, "essay_id").join(e.select("essay_id", "bucket"), "essay_id"))
-    counts = cut(bl.bucket_counts(e, s))
-    values = unpivot(s, ["essay_id", "sent_idx", "bucket"], LEXICAL)
-    _, log = bl.merge_plan([(r["bucket"], r["n_sentences"]) for r in counts.orderBy("ord").collect()], min_n)  # four rows
-    return ig.write_baselines(out, FEATURE_VERSION, bl.compute(values, counts, min_n), counts, log)
+    e = cut(e.join(sample, "essay_id", "left_semi").select("essay_id", "text", tx.length_bucket(F.col("length_words")).alias("bucket"), F.size(tx.tokens(F.col("text"))).alias("n_tokens")))
+    told("sample", n := e.count())
+    long_ids = [r["essay_id"] for r in e.where(F.col("n_tokens") > window_tokens).select("essay_id").orderBy("essay_id").collect()]  # of a sample of at most `most` essays
+    used = e.where(F.col("n_tokens") <= window_tokens)
+    vectors, names = extractor(used)
+    vectors = cut(vectors)
+    told("sentences", vectors.count())
+    with_sentences = used.join(vectors.select("essay_id").distinct(), "essay_id", "left_semi")
+    counts = cut(bl.bucket_counts(with_sentences, vectors))
+    rows = counts.orderBy("ord").collect()  # four rows
+    _, log = bl.merge_plan([(r["bucket"], r["n_sentences"]) for r in rows], min_n)
+    stats = bl.compute(long_values(vectors, ["essay_id", "sent_idx", "bucket"], names), counts, min_n)
+    path = ig.write_baselines(out, FEATURE_VERSION, stats, counts, log)
+    essays_used = sum(r["n_essays"] for r in rows)
+    ig.write_report(spark, out, {
+        "dataset_version": ig.dataset_version(spark, folder), "feature_version": FEATURE_VERSION, "min_n": min_n, "records_seen": seen["records"],
+        "train_human_total": seen["kept"], "train_human_used": essays_used, "baseline_max_essays": most, "baseline_sample_seed": seed, "baseline_sample_size": n,
+        "excluded_non_human": seen["not_human"], "excluded_non_train": seen["not_train"], "excluded_long_documents": len(long_ids), "excluded_long_document_ids": long_ids,
+        "essays_zero_sentences_skipped": n - len(long_ids) - essays_used, "sentences": sum(r["n_sentences"] for r in rows),
+        "bucket_essay_counts": {r["bucket"]: r["n_essays"] for r in rows}, "bucket_sentence_counts": {r["bucket"]: r["n_sentences"] for r in rows}, "merge_log": log,
+    })
+    told("baselines", essays_used)
+    return path

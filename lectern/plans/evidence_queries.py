@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import pipeline as pl
 from lectern.functions import text as tx
-from lectern.functions.features import sentence_features, unpivot
 from lectern.operators import baselines as bl
 from lectern.operators import scoring as sc
-from lectern.operators.passages import build_passages, mattr, mtld
+from lectern.operators.language_model import CountModel
+from lectern.operators.passages import mattr, mtld
 from lectern.operators.sentences import split_sentences
+from lectern.operators.vectors import long_values, with_vectors
 from lectern.plans import sql
-from lectern.plans.text_queries import LEXICAL, ORDINALS, _MATTR, _pass
+from lectern.plans.text_queries import _MATTR
 from lectern.session import cut, read_table
 
 Q: dict = {}
@@ -34,7 +36,7 @@ def query(name: str, oracle: str | None = None):
 _HUMAN = f"""
     h0 AS (SELECT essay_id, text, {sql.words('text')} AS n_words, row_number() OVER (PARTITION BY essay_id ORDER BY input_ord) AS r FROM essays WHERE label = 'human' AND split = 'train' AND text IS NOT NULL),
     hum AS (SELECT essay_id, text, {sql.bucket('n_words')} AS bucket FROM h0 WHERE r = 1 AND n_words > 0)"""
-_HFEAT = f"WITH {_HUMAN}, {sql.sentences('hum', 'essay_id')}, {sql.featured('essay_id')}, {sql.unpivoted(LEXICAL, 'essay_id, sent_idx', ORDINALS)}, valb AS (SELECT bucket, feature, value FROM longf JOIN hum USING (essay_id))"
+_HFEAT = f"WITH {_HUMAN}, {sql.sentences('hum', 'essay_id')}, {sql.vectors('essay_id')}, valb AS (SELECT bucket, feature, value FROM longf JOIN hum USING (essay_id))"
 
 
 def human_training(spark: SparkSession, d: str) -> DataFrame:
@@ -43,13 +45,16 @@ def human_training(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("n_words", tx.word_count(F.col("text"))).where("n_words > 0").select("essay_id", "text", tx.length_bucket(F.col("n_words")).alias("bucket"))
 
 
-def human_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(essays, their sentences, long values with their bucket)."""
+def model_of(spark: SparkSession, d: str) -> CountModel:
+    """The count model of all documents."""
+    return CountModel.learn(read_table(spark, d, "documents"))
+
+
+def human_values(spark: SparkSession, d: str, model: CountModel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(essays, their sentences, long values of all features), all with their bucket."""
     e = human_training(spark, d)
-    s = split_sentences(e, "essay_id")
-    long = unpivot(sentence_features(s, 6), ["essay_id", "sent_idx"], LEXICAL)
-    b = e.select("essay_id", "bucket")
-    return e, s.join(b, "essay_id"), long.join(b, "essay_id")
+    s = split_sentences(e, "essay_id", keep=["bucket"])
+    return e, s, long_values(with_vectors(s, model or model_of(spark, d), 6), ["essay_id", "sent_idx", "bucket"])
 
 
 _STATS = ("mean_value", "std_value", "p5", "p25", "p50", "p75", "p95")
@@ -117,15 +122,15 @@ _DOCB = f"""
     d1 AS (SELECT doc_id, text, n_words, {sql.bucket('n_words')} AS bucket FROM d0 WHERE n_words > 0),
     hb AS (SELECT list(DISTINCT bucket) AS have FROM base0),
     d2 AS (SELECT *, CASE WHEN list_contains(have, bucket) THEN bucket WHEN list_contains(have, 'long') THEN 'long' WHEN list_contains(have, 'standard') THEN 'standard' WHEN list_contains(have, 'short') THEN 'short' ELSE bucket END AS baseline_bucket FROM d1, hb)"""
-_SIGNALS = f"""WITH {_BASE}, {_DOCB}, {sql.sentences('d2')}, {sql.featured()}, {sql.unpivoted(LEXICAL, 'doc_id, sent_idx', ORDINALS)},
+_SIGNALS = f"""WITH {_BASE}, {_DOCB}, {sql.sentences('d2')}, {sql.vectors()},
     sig AS (SELECT longf.doc_id, sent_idx::INT AS sent_idx, longf.feature, ordinal, value, mean_value, std_value, CASE WHEN std_value > 0 THEN (value - mean_value) / std_value END AS z
             FROM longf JOIN d2 USING (doc_id) JOIN base ON base.bucket = d2.baseline_bucket AND base.feature = longf.feature),
     sigl AS (SELECT *, CASE WHEN z IS NULL THEN 'unknown' WHEN z < 0 THEN 'lower' ELSE 'higher' END AS direction,
                     CASE WHEN z IS NULL THEN 'uncertain' WHEN abs(z) >= 2 THEN 'high' WHEN abs(z) >= 1 THEN 'medium' ELSE 'low' END AS evidence FROM sig)"""
 
 
-def reference(spark: SparkSession, d: str) -> DataFrame:
-    e, _, v = human_values(spark, d)
+def reference(spark: SparkSession, d: str, model: CountModel | None = None) -> DataFrame:
+    e, _, v = human_values(spark, d, model)
     enough = e.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") >= _FEW).select("bucket")
     stats = bl.bucket_stats(v).join(F.broadcast(enough), "bucket")  # at most four rows
     return cut(stats)  # read for the buckets and for the scores; four buckets times the features
@@ -141,44 +146,47 @@ def bucket_resolve_fallback(spark, d):
     return bucketed_docs(spark, d, reference(spark, d)).select("doc_id", "n_words", "bucket", "baseline_bucket")
 
 
-def signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(sentences of all documents with words, their scored signals)."""
-    base = reference(spark, d)
-    docs = bucketed_docs(spark, d, base)
-    s = split_sentences(docs)
-    long = unpivot(sentence_features(s, 6), ["doc_id", "sent_idx"], LEXICAL).join(docs.select("doc_id", "baseline_bucket"), "doc_id")
-    return s, sc.score(long, base, ["doc_id", "sent_idx"])
+def scored_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of all documents with words, each with its ranked signals; only the distributions are shuffled."""
+    model = model_of(spark, d)
+    base = reference(spark, d, model)
+    s = with_vectors(split_sentences(bucketed_docs(spark, d, base), keep=["baseline_bucket"]), model, 6)
+    return sc.score_rows(s, base, sc.named_values(F.col("vector"))).select("doc_id", "sent_idx", "signals")
+
+
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    return scored_sentences(spark, d).select("doc_id", "sent_idx", F.inline("signals"))
 
 
 @query("zscore_signals", f"{_SIGNALS} SELECT doc_id, sent_idx, feature, round(value, 6) AS value, round(z + 1e-9, 4) AS z_score, evidence FROM sigl")
 def zscore_signals(spark, d):
-    return signals(spark, d)[1].select("doc_id", "sent_idx", "feature", F.round("value", 6).alias("value"), F.round(F.col("z_score") + 1e-9, 4).alias("z_score"), "evidence")
+    return signals(spark, d).select("doc_id", "sent_idx", "feature", F.round("value", 6).alias("value"), F.round(F.col("z_score") + 1e-9, 4).alias("z_score"), "evidence")
 
 
 @query("signal_direction", f"{_SIGNALS} SELECT feature, direction, evidence, count(*) AS n FROM sigl GROUP BY ALL")
 def signal_direction(spark, d):
-    return signals(spark, d)[1].groupBy("feature", "direction", "evidence").agg(F.count("*").alias("n"))
+    return signals(spark, d).groupBy("feature", "direction", "evidence").agg(F.count("*").alias("n"))
 
 
 _UNITS = f"""{_SIGNALS},
     rk AS (SELECT doc_id, sent_idx, count(*) AS n, count(*) FILTER (WHERE evidence = 'high') AS high, count(*) FILTER (WHERE evidence = 'medium') AS medium,
-                  list({{'r': -abs(coalesce(z, 0)), 'o': ordinal, 'feature': feature, 'evidence': evidence, 'z': z, 'direction': direction}} ORDER BY -abs(coalesce(z, 0)), ordinal) AS s FROM sigl GROUP BY ALL),
-    un AS (SELECT sent.doc_id, sent.sent_idx::INT AS sent_idx, coalesce(n, 0) AS signal_count, coalesce(high, 0) + coalesce(medium, 0) AS flagged,
+                  list({{'r': -round(abs(coalesce(z, 0)), 9), 'o': ordinal, 'feature': feature, 'evidence': evidence, 'z': z, 'direction': direction}} ORDER BY -round(abs(coalesce(z, 0)), 9), ordinal) AS s FROM sigl GROUP BY ALL),
+    un AS (SELECT sent.doc_id, sent.sent_idx::INT AS sent_idx, coalesce(n, 0) AS scored_count, coalesce(high, 0) + coalesce(medium, 0) AS signal_count,
                   CASE WHEN coalesce(n, 0) = 0 THEN 'uncertain' WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END AS evidence_strength, s[1].feature AS top_feature, s[1].direction AS top_direction, s
            FROM sent LEFT JOIN rk ON rk.doc_id = sent.doc_id AND rk.sent_idx = sent.sent_idx)"""
 
 
 def scored_units(spark: SparkSession, d: str) -> DataFrame:
-    s, sig = signals(spark, d)
-    return sc.units(s.select("doc_id", "sent_idx"), sig, ["doc_id", "sent_idx"])
+    s = scored_sentences(spark, d)
+    return s.withColumns(sc.unit_columns(F.col("signals"), "sentence", F.col("sent_idx")))
 
 
 @query(
     "sentence_evidence_scored",
-    f"""{_UNITS} SELECT doc_id, sent_idx, signal_count, flagged, evidence_strength, top_feature,
-    CASE WHEN signal_count = 0 THEN 'sentence ' || sent_idx || ': no features could be compared (baseline distribution unavailable)'
-         WHEN flagged = 0 THEN 'sentence ' || sent_idx || ': all ' || signal_count || ' scored features fall within the typical human baseline range'
-         ELSE 'sentence ' || sent_idx || ': ' || flagged || ' of ' || signal_count || ' scored features show machine-like signals (top: ' || top_feature || ' ' || top_direction || ' than the human baseline)' END AS summary FROM un""",
+    f"""{_UNITS} SELECT doc_id, sent_idx, signal_count, scored_count, evidence_strength, top_feature,
+    CASE WHEN scored_count = 0 THEN 'sentence ' || sent_idx || ': no features could be compared (baseline distribution unavailable)'
+         WHEN signal_count = 0 THEN 'sentence ' || sent_idx || ': all ' || scored_count || ' scored features fall within the typical human baseline range'
+         ELSE 'sentence ' || sent_idx || ': ' || signal_count || ' of ' || scored_count || ' scored features show machine-like signals (top: ' || top_feature || ' ' || top_direction || ' than the human baseline)' END AS summary FROM un""",
 )
 def sentence_evidence_scored(spark, d):
     return scored_units(spark, d).drop("signals")
@@ -191,7 +199,7 @@ def evidence_level_counts(spark, d):
 
 @query(
     "top5_signals_display",
-    f"""{_UNITS}, sh AS (SELECT doc_id, sent_idx, CASE WHEN len(list_filter(s, lambda x: x.evidence <> 'low')) > 0 THEN (list_filter(s, lambda x: x.evidence <> 'low'))[1:5] ELSE s[1:3] END AS v FROM un WHERE signal_count > 0),
+    f"""{_UNITS}, sh AS (SELECT doc_id, sent_idx, CASE WHEN len(list_filter(s, lambda x: x.evidence <> 'low')) > 0 THEN (list_filter(s, lambda x: x.evidence <> 'low'))[1:5] ELSE s[1:3] END AS v FROM un WHERE scored_count > 0),
     ex AS (SELECT doc_id, sent_idx, unnest(v) AS x, (generate_subscripts(v, 1) - 1)::INT AS position FROM sh)
     SELECT doc_id, sent_idx, position, x.feature AS feature, x.evidence AS evidence, round(x.z + 1e-9, 4) AS z_score FROM ex""",
 )
@@ -199,25 +207,33 @@ def top5_signals_display(spark, d):
     return sc.display_signals(scored_units(spark, d), ["doc_id", "sent_idx"]).withColumn("z_score", F.round(F.col("z_score") + 1e-9, 4))
 
 
-@query(
-    "passage_evidence",
-    f"""WITH pb AS ({_pass('doc_id, segment')} SELECT doc_id, passage_idx, {sql.tokens('text')} AS t FROM pass),
-    pv AS (SELECT p.doc_id, passage_idx, baselines.feature, CASE baselines.feature WHEN 'ttr' THEN 20.0::DOUBLE * ({sql.ratio('len(list_distinct(t))', 'len(t)')}) WHEN 'word_length_mean' THEN 8.0::DOUBLE * ({sql.ratio("length(array_to_string(t, ''))", 'len(t)')}) END AS value, mean_value, std_value
-           FROM (SELECT pb.doc_id, passage_idx, t, {sql.bucket('n_words')} AS bucket FROM pb JOIN (SELECT doc_id, {sql.words('text')} AS n_words FROM documents) USING (doc_id)) p JOIN baselines ON baselines.bucket = p.bucket AND baselines.feature IN ('ttr', 'word_length_mean'))
-    SELECT doc_id, passage_idx, count(*) AS signal_count, CASE WHEN max(abs((value - mean_value) / std_value)) >= 2 THEN 'high' WHEN max(abs((value - mean_value) / std_value)) >= 1 THEN 'medium' ELSE 'low' END AS evidence_strength FROM pv GROUP BY ALL""",
-)
-def passage_evidence(spark, d):
-    """Passages scored on the two stored distributions that their text has, rescaled to the unit of these tables."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    b = docs.select("doc_id", tx.length_bucket(tx.word_count(F.col("text"))).alias("baseline_bucket"))
-    p = build_passages(split_sentences(docs)).select("doc_id", "passage_idx", tx.tokens(F.col("text")).alias("t"))
-    wide = p.select("doc_id", "passage_idx", (20.0 * tx.ratio(F.size(F.array_distinct("t")), F.size("t"))).alias("ttr"), (8.0 * tx.ratio(F.length(F.array_join("t", "")), F.size("t"))).alias("word_length_mean"))
-    long = unpivot(wide, ["doc_id", "passage_idx"], ("ttr", "word_length_mean")).join(b, "doc_id")
-    sig = sc.score(long, read_table(spark, d, "baselines"), ["doc_id", "passage_idx"])
-    return sc.units(p.select("doc_id", "passage_idx"), sig, ["doc_id", "passage_idx"], "passage", "passage_idx").where("signal_count > 0").select("doc_id", "passage_idx", "signal_count", "evidence_strength")
+def _passage_evidence_sql() -> str:
+    from lectern.plans.text_queries import mtld_ctes
 
+    return f"""{mtld_ctes()},
+    pv AS (SELECT m.doc_id, m.passage_idx, (m.mtld - mean_value) / std_value AS z, m.mtld >= 0 AS ok FROM mtl m JOIN (SELECT doc_id, {sql.bucket(sql.words('text'))} AS bucket FROM documents) db USING (doc_id) JOIN baselines ON baselines.bucket = db.bucket AND baselines.feature = 'mtld')
+    SELECT doc_id, passage_idx, 1::BIGINT AS scored_count, (abs(z) >= 1)::BIGINT AS signal_count, CASE WHEN abs(z) >= 2 THEN 'high' WHEN abs(z) >= 1 THEN 'medium' ELSE 'low' END AS evidence_strength, round(z + 1e-9, 4) AS top_z FROM pv"""
 
-_LIMITS = ", ".join("replace(replace('" + x.replace("'", "''") + "', '{n}', n::VARCHAR), '{version}', 'v0.1.0')" for x in sc.LIMITATIONS)
+
+@query("passage_evidence", _passage_evidence_sql())
+def passage_evidence(spark, d):
+    """Passages with their whole vector, scored on what the stored distributions have of it."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text", tx.length_bucket(tx.word_count(F.col("text"))).alias("baseline_bucket"))
+    p = pl.passage_rows(docs.where("text IS NOT NULL"), keep=["baseline_bucket"])
+    u = sc.score_rows(p, read_table(spark, d, "baselines"), F.col("values"))
+    u = u.withColumns(sc.unit_columns(F.col("signals"), "passage", F.col("passage_idx")))
+    return u.select("doc_id", "passage_idx", "scored_count", "signal_count", "evidence_strength", F.round(F.get(F.col("signals"), F.lit(0))["z_score"] + 1e-9, 4).alias("top_z"))
+
+
+# Fixed values, written out here once more.
+_TEXTS = (
+    "This analysis measures machine-like writing signals using statistical and language-model measurements; it is evidence, not a claim of authorship.",
+    "The language model is an instrument for measurable token signals only; it never judges whether text was written by an AI.",
+    "Human baselines come from the training split of dataset {version} ({n} human admissions essays); behavior on other populations is unknown and may differ.",
+    "Features without a baseline distribution are not scored; evidence covers only features comparable to the human sample.",
+    "Short, heavily edited, or second-language essays can produce unusual signals for reasons unrelated to AI writing.",
+)
+_LIMITS = ", ".join("replace(replace('" + x.replace("'", "''") + "', '{n}', n::VARCHAR), '{version}', 'v0.1.0')" for x in _TEXTS)
 
 
 @query(
@@ -237,12 +253,49 @@ def limitations_text(spark, d):
     return j.select("doc_id", F.posexplode(lim).alias("position", "limitation"))
 
 
-@query("analysis_documents")
+_GUARD = f"CASE WHEN text IS NULL OR {sql.strip('text')} = '' THEN 'text must not be empty' WHEN length(text) > 10000 THEN 'text is too long' WHEN len({sql.tokens('text')}) = 0 THEN 'text contains no words' WHEN len({sql.tokens('text')}) > 1024 THEN 'text exceeds the token window of the instrument' END"
+
+
+@query(
+    "analysis_documents",
+    f"""{_UNITS}, gd AS (SELECT doc_id, {_GUARD} AS error FROM documents),
+    ps AS (SELECT doc_id, count(*) AS passages FROM (SELECT doc_id, segment, lead(segment, 2) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS third FROM sent) WHERE segment = third GROUP BY doc_id),
+    uc AS (SELECT doc_id, count(*) AS sentence_count, count(*) FILTER (WHERE evidence_strength = 'high') AS high, count(*) FILTER (WHERE evidence_strength = 'medium') AS medium, sum(signal_count) AS flagged FROM un GROUP BY doc_id)
+    SELECT gd.doc_id, error, CASE WHEN error IS NULL THEN n_words::BIGINT END AS word_count, CASE WHEN error IS NULL THEN baseline_bucket END AS baseline_bucket,
+           CASE WHEN error IS NULL THEN sentence_count END AS sentence_count, CASE WHEN error IS NULL THEN high END AS high, CASE WHEN error IS NULL THEN medium END AS medium, CASE WHEN error IS NULL THEN flagged::BIGINT END AS flagged,
+           CASE WHEN error IS NULL THEN coalesce(passages, 0) END AS passages, CASE WHEN error IS NULL THEN 5 + (bucket <> baseline_bucket)::INT END AS limitations
+    FROM gd LEFT JOIN d2 USING (doc_id) LEFT JOIN uc USING (doc_id) LEFT JOIN ps USING (doc_id)""",
+)
 def analysis_documents(spark, d):
-    """The nested answer of an analysis with its time and id, one JSON document for each text (not comparable by SQL)."""
-    u = scored_units(spark, d)
-    per = u.groupBy("doc_id").agg(F.count("*").alias("sentence_count"), F.array_sort(F.collect_list(F.struct("sent_idx", "evidence_strength", "signal_count", "summary"))).alias("sentences"))
-    return per.select("doc_id", "sentence_count", F.to_json(F.struct(F.expr("uuid()").alias("analysis_id"), F.current_timestamp().alias("analysed_at"), F.lit("f0.3.0").alias("feature_version"), "sentence_count", "sentences")).alias("document"))
+    """The analysis of every document as one row: why it was refused, or its counts, sentences, passages and limitations."""
+    model = model_of(spark, d)
+    a = pl.analyze(read_table(spark, d, "documents"), reference(spark, d, model), model, digits=6)
+    return a.select(
+        "doc_id", "error", "word_count", "baseline_bucket", F.col("summary.sentence_count").alias("sentence_count"), F.col("summary.high").alias("high"), F.col("summary.medium").alias("medium"),
+        F.aggregate(F.transform("sentences", lambda s: s["signal_count"]), F.lit(0).cast("long"), lambda x, y: x + y).alias("flagged"), F.nullif(F.size("passages"), F.lit(-1)).cast("long").alias("passages"), F.nullif(F.size("limitations"), F.lit(-1)).alias("limitations"),
+    )
+
+
+@query(
+    "stored_signal_summaries",
+    """WITH x AS (SELECT DISTINCT unnest(signals) AS s FROM sentence_evidence)
+    SELECT s.feature AS feature, s.value AS value, s.baseline_mean AS baseline_mean, s.baseline_std AS baseline_std, s.z_score AS z_score,
+           s.feature || ': ' || printf('%.2f', s.value) || ' (human baseline: ' || printf('%.2f', s.baseline_mean) || ' ± ' || printf('%.2f', s.baseline_std) || ') — ' ||
+           CASE WHEN s.z_score IS NULL THEN 'uncertain because baseline variance unavailable' WHEN abs(s.z_score) < 1 THEN 'within the typical human baseline range' WHEN s.z_score < 0 THEN 'unusually lower than the human baseline' ELSE 'unusually higher than the human baseline' END AS summary
+    FROM x""",
+)
+def stored_signal_summaries(spark, d):
+    """The summary of every stored signal."""
+    x = read_table(spark, d, "sentence_evidence").select(F.inline("signals")).select("feature", "value", "baseline_mean", "baseline_std", "z_score", "direction", "evidence").distinct()
+    c = [F.col(n) for n in ("feature", "value", "baseline_mean", "baseline_std", "z_score")]
+    return x.select(*c, sc.signal_summary(*c).alias("summary")).distinct()
+
+
+@query("two_decimal_ties", "SELECT DISTINCT l_extendedprice / 8 AS x, printf('%.2f', l_extendedprice / 8) AS shown, printf('%.2f', -l_tax * l_discount / 4) AS small FROM lineitem")
+def two_decimal_ties(spark, d):
+    """Two decimals of values of which many are exact ties."""
+    x = read_table(spark, d, "lineitem").select((F.col("l_extendedprice").cast("double") / 8).alias("x"), (-F.col("l_tax").cast("double") * F.col("l_discount").cast("double") / 4).alias("y"))
+    return x.select("x", tx.two_decimals(F.col("x")).alias("shown"), tx.two_decimals(F.col("y")).alias("small")).distinct()
 
 
 @query(

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.features import ORDER, READABILITY, STYLOMETRIC, catalog, sentence_features, unpivot
+from lectern.functions.features import READABILITY, STYLOMETRIC, catalog, sentence_features
 from lectern.operators import language_model as lm
-from lectern.operators.passages import aggregate_features, build_passages, mattr, mtld
-from lectern.operators.sentences import split_sentences
-from lectern.operators.tagging import CLAUSE_OPENERS, CLOSED, ENDINGS, tag_shares
+from lectern.operators.passages import STATISTICS, document_passages, mattr, member_statistics, mtld, passage_array
+from lectern.operators.sentences import sentence_array, split_sentences
+from lectern.operators.tagging import tag_shares
+from lectern.operators.vectors import TEXTUAL, long_values, text_vector, with_vectors
 from lectern.plans import sql
 from lectern.session import read_table
 
-LEXICAL = (*STYLOMETRIC, *READABILITY)
-ORDINALS = {n: ORDER.index(n) + 1 for n in LEXICAL}
 #: Statistics of a passage's features; a nudge before rounding keeps ties on one side in both engines.
-STATS = ("mean", "std", "min", "max", "p5", "p25", "p50", "p75", "p95")
+STATS = ("mean", "std", "cv", "min", "max", "p5", "p25", "p50", "p75", "p95")
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -90,9 +89,9 @@ def sentence_readability(spark, d):
     return sentence_features(sentences(spark, d), 6).select("doc_id", "sent_idx", *READABILITY)
 
 
-@query("sentence_features_long", f"WITH {sql.sentences()}, {sql.featured()}, {sql.unpivoted(LEXICAL, 'doc_id, sent_idx::INT AS sent_idx', ORDINALS)} SELECT doc_id, sent_idx, feature, ordinal, value FROM longf")
+@query("sentence_features_long", f"WITH {sql.sentences()}, {sql.vectors(model=False)} SELECT doc_id, sent_idx::INT AS sent_idx, feature, ordinal, value FROM longf")
 def sentence_features_long(spark, d):
-    return unpivot(sentence_features(sentences(spark, d), 6), ["doc_id", "sent_idx"], LEXICAL)
+    return long_values(with_vectors(sentences(spark, d), digits=6), ["doc_id", "sent_idx"], TEXTUAL)
 
 
 _FRAME = """
@@ -108,34 +107,33 @@ def _pass(part: str = "doc_id", stride: int = 1) -> str:
 
 @query("passage_windows", f"{_pass()} SELECT doc_id, passage_idx, first_idx, text FROM pass")
 def passage_windows(spark, d):
-    return build_passages(sentences(spark, d), bounded=False).select("doc_id", "passage_idx", "first_idx", "text")
+    return document_passages(docs(spark, d), bounded=False).select("doc_id", "passage_idx", "first_idx", "text")
 
 
 @query("passage_windows_stride2", f"{_pass(stride=2)} SELECT doc_id, passage_idx, first_idx, text FROM pass")
 def passage_windows_stride2(spark, d):
-    return build_passages(sentences(spark, d), stride=2, bounded=False).select("doc_id", "passage_idx", "first_idx", "text")
+    return document_passages(docs(spark, d), stride=2, bounded=False).select("doc_id", "passage_idx", "first_idx", "text")
 
 
 @query("passage_paragraph_bounded", f"{_pass('doc_id, segment')} SELECT doc_id, passage_idx, first_idx, text FROM pass")
 def passage_paragraph_bounded(spark, d):
-    return build_passages(sentences(spark, d)).select("doc_id", "passage_idx", "first_idx", "text")
+    return document_passages(docs(spark, d)).select("doc_id", "passage_idx", "first_idx", "text")
 
 
 @query(
     "passage_feature_stats",
-    f"""{_pass('doc_id, segment')}, {sql.featured()}, {sql.unpivoted(LEXICAL, 'doc_id, sent_idx', ORDINALS)},
+    f"""{_pass('doc_id, segment')}, {sql.vectors(model=False)},
     member AS (SELECT doc_id, passage_idx, unnest(ids) AS sent_idx FROM pass),
-    agg AS (SELECT doc_id, passage_idx, feature, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max,
+    agg AS (SELECT doc_id, passage_idx, feature, avg(value) AS mean, stddev_pop(value) AS std, CASE WHEN avg(value) <> 0 THEN stddev_pop(value) / avg(value) END AS cv, min(value) AS min, max(value) AS max,
                    quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95
             FROM member JOIN longf USING (doc_id, sent_idx) GROUP BY ALL)
     SELECT doc_id, passage_idx, feature, {', '.join(f'round({c} + 1e-9, 4) AS {c}' for c in STATS)} FROM agg""",
 )
 def passage_feature_stats(spark, d):
-    s = sentences(spark, d)
-    long = unpivot(sentence_features(s, 6), ["doc_id", "sent_idx"], LEXICAL)
-    member = build_passages(s).select("doc_id", "passage_idx", F.explode("sentence_indices").alias("sent_idx"))
-    a = aggregate_features(member.join(long, ["doc_id", "sent_idx"]), ["doc_id", "passage_idx"])
-    return a.select("doc_id", "passage_idx", "feature", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in STATS])
+    s = docs(spark, d).where("text IS NOT NULL").select("doc_id", sentence_array(F.col("text")).alias("s"))
+    s = s.withColumn("v", F.transform("s", lambda x: text_vector(x["sentence"], 6))).withColumn("p", passage_array(F.col("s")))
+    p = s.select("doc_id", F.explode("p").alias("p"), "v").select("doc_id", "p.passage_idx", F.inline(member_statistics(F.col("p.sentence_indices"), F.col("v"), TEXTUAL)))
+    return p.select("doc_id", "passage_idx", "feature", *[F.round(F.col(f"s.{c}") + 1e-9, 4).alias(c) for c in STATISTICS])
 
 
 _MATTR = f"""CASE WHEN len(t) >= 50 THEN list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(t[i:i + 49]))))::DOUBLE / (len(t) - 49) / 50.0::DOUBLE ELSE {sql.ratio('len(list_distinct(t))', 'len(t)')} END"""
@@ -143,12 +141,12 @@ _MATTR = f"""CASE WHEN len(t) >= 50 THEN list_sum(list_transform(range(1, len(t)
 
 @query("passage_mattr", f"{_pass('doc_id, segment')}, pt AS (SELECT doc_id, passage_idx, {sql.tokens('text')} AS t FROM pass) SELECT doc_id, passage_idx, round({_MATTR}, 6) AS mattr FROM pt")
 def passage_mattr(spark, d):
-    p = build_passages(sentences(spark, d)).select("doc_id", "passage_idx", tx.tokens(F.col("text")).alias("t"))
+    p = document_passages(docs(spark, d)).select("doc_id", "passage_idx", tx.tokens(F.col("text")).alias("t"))
     return p.select("doc_id", "passage_idx", r6(mattr(F.col("t"))).alias("mattr"))
 
 
-def _mtld_sql() -> str:
-    """Both directions as one recursion over positions of the passages' tokens."""
+def mtld_ctes() -> str:
+    """CTEs ending in `mtl` (doc_id, passage_idx, mtld): both directions as one recursion over positions of the passages' tokens."""
     return f"""
     {_pass('doc_id, segment').replace('WITH', 'WITH RECURSIVE', 1)}, pt AS (SELECT doc_id, passage_idx, {sql.tokens('text')} AS t FROM pass),
     dirs AS (SELECT doc_id, passage_idx, 1 AS dir, t FROM pt UNION ALL SELECT doc_id, passage_idx, 2, list_reverse(t) FROM pt),
@@ -159,21 +157,32 @@ def _mtld_sql() -> str:
                CASE WHEN len(list_distinct(list_append(s, t[i + 1])))::DOUBLE / (l + 1) <= 0.72 THEN c + 1 ELSE c END,
                CASE WHEN len(list_distinct(list_append(s, t[i + 1])))::DOUBLE / (l + 1) <= 0.72 THEN 0 ELSE l + 1 END,
                CASE WHEN len(list_distinct(list_append(s, t[i + 1])))::DOUBLE / (l + 1) <= 0.72 THEN []::VARCHAR[] ELSE list_distinct(list_append(s, t[i + 1])) END
-        FROM walk WHERE i < len(t))
-    SELECT doc_id, passage_idx, round(sum(c + CASE WHEN l > 0 THEN len(s)::DOUBLE / l / 0.72::DOUBLE ELSE 0 END) / 2, 6) AS mtld
-    FROM walk WHERE i = len(t) GROUP BY doc_id, passage_idx"""
+        FROM walk WHERE i < len(t)),
+    mtl AS (SELECT doc_id, passage_idx, sum(c + CASE WHEN l > 0 THEN len(s)::DOUBLE / l / 0.72::DOUBLE ELSE 0 END) / 2 AS mtld FROM walk WHERE i = len(t) GROUP BY doc_id, passage_idx)"""
 
 
-@query("passage_mtld", _mtld_sql())
+@query("passage_mtld", f"{mtld_ctes()} SELECT doc_id, passage_idx, round(mtld, 6) AS mtld FROM mtl")
 def passage_mtld(spark, d):
-    p = build_passages(sentences(spark, d)).select("doc_id", "passage_idx", tx.tokens(F.col("text")).alias("t"))
+    p = document_passages(docs(spark, d)).select("doc_id", "passage_idx", tx.tokens(F.col("text")).alias("t"))
     return p.select("doc_id", "passage_idx", r6(mtld(F.col("t"))).alias("mtld"))
 
 
-def _catalog_sql() -> str:
-    from lectern.functions.features import CATALOG
+# Fixed values, written out here once more: the names of every family and state.
+_FAMILIES = {
+    ("lexical", "implemented"): "ttr word_length_mean sent_len mattr mtld",
+    ("lexical", "planned"): "hdd rare_word_rate",
+    ("repetition", "implemented"): "ngram_rep_char_3 ngram_rep_word_2 lexical_recurrence",
+    ("repetition", "experimental"): "self_similarity",
+    ("readability", "implemented"): "flesch_reading_ease flesch_kincaid_grade ari coleman_liau gunning_fog",
+    ("rhythm", "implemented"): "punct_density sent_len_mean sent_len_std sent_len_cv clause_density_mean",
+    ("syntax", "implemented"): " ".join(("pos_entropy", "dep_depth_mean", "clause_density", *(f"pos_{t}" for t in sql.POS))),
+    ("lm", "implemented"): " ".join(sql.MODEL),
+    ("contextual", "experimental"): "coherence_prev coherence_next topic_consistency",
+}
+
 
-    rows = ", ".join(f"('{n}', '{f}', '{s}', {ORDER.index(n) + 1 if n in ORDER else 'NULL'})" for n, (f, s) in CATALOG.items())
+def _catalog_sql() -> str:
+    rows = ", ".join(f"('{n}', '{f}', '{s}', {sql.ORDER.index(n) + 1 if n in sql.ORDER else 'NULL'})" for (f, s), names in _FAMILIES.items() for n in names.split())
     return f"SELECT * FROM (VALUES {rows}) AS v(feature, family, status, ordinal)"
 
 
@@ -201,33 +210,21 @@ def lm_unigram_model(spark, d):
     f"""WITH {sql.sentences()}, {_UNI},
     st AS (SELECT doc_id, sent_idx, unnest({sql.tokens('sentence')}) AS token, generate_subscripts({sql.tokens('sentence')}, 1) - 1 AS i FROM sent),
     sg AS (SELECT doc_id, sent_idx, ln(p) AS lp, entropy AS h, rank::DOUBLE AS rk, top1 FROM st JOIN uni USING (token) WHERE NOT (i = 0 AND sent_idx = 0)),
-    ag AS (SELECT doc_id, sent_idx, exp(-avg(lp)) AS perplexity, avg(h) AS token_entropy_mean, avg(lp) AS log_prob_mean, stddev_pop(lp) AS log_prob_std, avg(rk) AS rank_mean, stddev_pop(rk) AS rank_std, avg(top1) AS prob_curvature FROM sg GROUP BY ALL)
-    SELECT doc_id, sent_idx::INT AS sent_idx, round(coalesce(perplexity, 0), 3) AS perplexity, round(coalesce(token_entropy_mean, 0), 4) AS token_entropy_mean, round(coalesce(log_prob_mean, 0), 5) AS log_prob_mean, round(coalesce(log_prob_std, 0), 5) AS log_prob_std,
+    ag AS (SELECT doc_id, sent_idx, exp(-avg(lp)) AS perplexity, avg(h) AS token_entropy_mean, stddev_pop(h) AS token_entropy_std, avg(lp) AS log_prob_mean, stddev_pop(lp) AS log_prob_std, avg(rk) AS rank_mean, stddev_pop(rk) AS rank_std, avg(top1) AS prob_curvature FROM sg GROUP BY ALL)
+    SELECT doc_id, sent_idx::INT AS sent_idx, round(coalesce(perplexity, 0), 3) AS perplexity, round(coalesce(token_entropy_mean, 0), 4) AS token_entropy_mean, round(coalesce(token_entropy_std, 0), 4) AS token_entropy_std, round(coalesce(log_prob_mean, 0), 5) AS log_prob_mean, round(coalesce(log_prob_std, 0), 5) AS log_prob_std,
            round(coalesce(rank_mean, 0), 4) AS rank_mean, round(coalesce(rank_std, 0), 4) AS rank_std, round(coalesce(prob_curvature, 0), 5) AS prob_curvature FROM sent LEFT JOIN ag USING (doc_id, sent_idx)""",
 )
 def lm_sentence_signals(spark, d):
     s, keys = sentences(spark, d), ["doc_id", "sent_idx"]
     g = lm.sentence_signals(s, lm.token_signals(s, lm.unigram_model(docs(spark, d)), keys), keys)
-    digits = {"perplexity": 3, "token_entropy_mean": 4, "log_prob_mean": 5, "log_prob_std": 5, "rank_mean": 4, "rank_std": 4, "prob_curvature": 5}
+    digits = {"perplexity": 3, "token_entropy_mean": 4, "token_entropy_std": 4, "log_prob_mean": 5, "log_prob_std": 5, "rank_mean": 4, "rank_std": 4, "prob_curvature": 5}
     return g.select(*keys, *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
 def _tag_sql() -> str:
-    punct = sql.PUNCTUATION.replace("'", "''")
-    unit = f"[A-Za-z0-9''\\x{{C0}}-\\x{{24F}}]+|[{punct}]|[^\\sA-Za-z0-9''\\x{{C0}}-\\x{{24F}}]"
-    quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
-    closed = " ".join(f"WHEN lower(u) IN ({quoted(ws)}) THEN '{t}'" for t, ws in CLOSED.items())
-    endings = " ".join(f"WHEN regexp_matches(lower(u), '^{e}$') THEN '{t}'" for t, e in ENDINGS)
-    from lectern.functions.features import POS_TAGS
-
-    shares = ", ".join(f"count(*) FILTER (WHERE tag = '{t}')::DOUBLE / count(*) AS pos_{t}" for t in POS_TAGS)
-    entropy = " + ".join(f"CASE WHEN pos_{t} > 0 THEN -pos_{t} * log2(pos_{t}) ELSE 0 END" for t in POS_TAGS)
-    return f"""WITH {sql.sentences()},
-    un AS (SELECT doc_id, sent_idx, unnest(regexp_extract_all(sentence, '{unit}')) AS u FROM sent),
-    tg AS (SELECT doc_id, sent_idx, u, CASE WHEN regexp_matches(u, '^[0-9]+$') THEN 'NUM' WHEN regexp_matches(u, '^[{punct}]$') THEN 'PUNCT' {closed}
-           WHEN NOT regexp_matches(u, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') THEN 'SYM' {endings} WHEN regexp_matches(u, '^[A-Z]') THEN 'PROPN' ELSE 'NOUN' END AS tag FROM un),
-    sh AS (SELECT doc_id, sent_idx, {shares}, 1.0::DOUBLE + count(*) FILTER (WHERE lower(u) IN ({quoted(CLAUSE_OPENERS)})) AS clause_density FROM tg GROUP BY ALL)
-    SELECT doc_id, sent_idx::INT AS sent_idx, {', '.join(f'round(pos_{t}, 6) AS pos_{t}' for t in POS_TAGS)}, round(clause_density, 6) AS clause_density, round({entropy}, 6) AS pos_entropy FROM sh"""
+    cols = ", ".join(f"{v} AS {k}" for k, v in sql.syntax_columns().items())
+    return f"""WITH {sql.sentences()}, un AS (SELECT doc_id, sent_idx, {sql.units('sentence')} AS u FROM sent), tg AS (SELECT *, list_transform(u, lambda x: {sql.tag_case()}) AS g FROM un)
+    SELECT doc_id, sent_idx::INT AS sent_idx, {cols} FROM tg WHERE len(u) > 0"""
 
 
 @query("pos_share_rule", _tag_sql())

@@ -146,6 +146,11 @@ def write_baselines(folder: str, feature_version: str, stats: DataFrame, counts:
     return path
 
 
+def write_report(spark: SparkSession, folder: str, doc: dict) -> None:
+    """The counters of a baseline run, keys in order."""
+    _json(os.path.join(folder, "report.json"), doc)
+
+
 def _json(path: str, doc: dict) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
