@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,11 +82,34 @@ def strata(e: DataFrame) -> DataFrame:
     return e.withColumn("origin", F.coalesce("source", "model", F.lit("unknown"))).withColumn("bucket", length_bucket(F.col("length_words")))
 
 
+#: Rows of a stratum that one range of hashes holds about.
+RANGE_ROWS = 4000
+
+
+def ranked(e: DataFrame, keys: list[str], seed: int, id_col: str = "essay_id") -> DataFrame:
+    """Adds __r, the rank from 1 by a seeded hash of the id within `keys`, and __n, how many rows there are.
+
+    A stratum may hold a third of all rows, so it is cut into ranges of the hash: counts of the ranges are summed up, and rows
+    are sorted within their range only.
+    """
+    e = e.withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col)), 256))
+    named = [F.col(k).alias(f"__s_{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in keys]
+    drop = [f"__s_{k}" for k in keys]
+    sizes = e.groupBy(*named).agg(F.count("*").alias("__n"))
+    e = e.join(F.broadcast(sizes), reduce(and_, same)).drop(*drop)  # one row for each stratum, of which there are few
+    e = e.withColumn("__b", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.ceil(F.col("__n") / RANGE_ROWS)).cast("int"))
+    counts = e.groupBy(*keys, "__b").agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*named, F.col("__b").alias("__ob"), before.alias("__o"))
+    e = e.join(offsets, reduce(and_, [*same, F.col("__b") == F.col("__ob")])).drop(*drop)
+    rank = F.col("__o") + F.row_number().over(W.partitionBy(*keys, "__b").orderBy("__h", id_col))
+    return e.withColumn("__r", rank).drop("__h", "__b", "__ob", "__o")
+
+
 def assign_splits(essays: DataFrame, seed: int = 42, holdout_models: tuple[str, ...] = (), train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(essay_id, origin, bucket, new_split): polished and their originals to test_secondary, held-out models to
     test_cross_model, the others 70 / 15 / 15 within each stratum by a seeded hash of the id.
-
-    Ranks come from a window over a stratum; its rows hold an id and a hash.
     """
     e = strata(essays.select("essay_id", "label", "source", "model", "length_words", "original_essay_id"))
     leaked = e.where((F.col("label") == "ai_polished") & F.col("original_essay_id").isNotNull()).select(F.col("original_essay_id").alias("essay_id")).distinct().withColumn("__leak", F.lit(True))
@@ -93,13 +119,11 @@ def assign_splits(essays: DataFrame, seed: int = 42, holdout_models: tuple[str,
         .when(F.col("__leak"), "test_secondary")
         .when((F.col("label") != "human") & F.coalesce(F.col("model").isin(*holdout_models), F.lit(False)), "test_cross_model")
     )
-    e = e.withColumn("__fixed", fixed)
-    pool = W.partitionBy("origin", "bucket", F.col("__fixed").isNull())
-    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("essay_id")), 256)
-    e = e.withColumn("__r", F.row_number().over(pool.orderBy(h, "essay_id"))).withColumn("__n", F.count("*").over(pool))
+    e = e.withColumn("fixed", fixed).withColumn("pool", F.col("fixed").isNull())
+    e = ranked(e, ["origin", "bucket", "pool"], seed)
     n_train, n_val = F.bround(F.col("__n") * train), F.bround(F.col("__n") * val)
-    ranked = F.when(F.col("__r") <= n_train, "train").when(F.col("__r") <= n_train + n_val, "val").otherwise("test")
-    return e.select("essay_id", "origin", "bucket", F.coalesce("__fixed", ranked).alias("new_split"))
+    drawn = F.when(F.col("__r") <= n_train, "train").when(F.col("__r") <= n_train + n_val, "val").otherwise("test")
+    return e.select("essay_id", "origin", "bucket", F.coalesce("fixed", drawn).alias("new_split"))
 
 
 def sample_quotas(counts: DataFrame, most: int) -> DataFrame:
@@ -121,9 +145,9 @@ def stratified_sample(essays: DataFrame, most: int = 500, seed: int = 42) -> Dat
     """A sample of `most` essays, proportional over (origin, bucket); all of them if there are no more."""
     e = strata(essays.select("essay_id", "source", "model", "length_words"))
     quotas = sample_quotas(e.groupBy("origin", "bucket").agg(F.count("*").alias("n")), most)
-    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("essay_id")), 256)
-    e = e.withColumn("__r", F.row_number().over(W.partitionBy("origin", "bucket").orderBy(h, "essay_id")))
-    return e.join(quotas, ["origin", "bucket"]).where(F.col("__r") <= F.col("quota")).select("essay_id", "origin", "bucket")
+    e = ranked(e, ["origin", "bucket"], seed)
+    q = F.broadcast(quotas.select(F.col("origin").alias("qo"), F.col("bucket").alias("qb"), "quota"))  # one row for each stratum
+    return e.join(q, e["origin"].eqNullSafe(F.col("qo")) & e["bucket"].eqNullSafe(F.col("qb"))).where(F.col("__r") <= F.col("quota")).select("essay_id", "origin", "bucket")
 
 
 def manifest_counts(essays: DataFrame) -> DataFrame:

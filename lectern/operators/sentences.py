@@ -46,5 +46,29 @@ def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     return docs.where(F.col(text).isNotNull()).select(key, *keep, F.inline(sentence_array(F.col(text))))
 
 
+#: Characters of a block by which positions meet in a range join.
+POSITIONS = 1024
+
+
+def in_sentences(tokens: DataFrame, sentences: DataFrame, key: str = "doc_id", at: str = "start") -> DataFrame:
+    """Tokens (key, at, ...) with the sent_idx of the sentence whose span holds their position; tokens between sentences drop out.
+
+    A range join by blocks of positions: a sentence stands in every block that it touches, a token in one.
+    """
+    s = sentences.select(key, "sent_idx", F.col("start").alias("__s"), F.col("end").alias("__e"), F.explode(F.sequence(F.floor(F.col("start") / POSITIONS), F.floor((F.col("end") - 1) / POSITIONS))).alias("__b"))
+    t = tokens.withColumn("__b", F.floor(F.col(at) / POSITIONS))
+    return t.join(s, [key, "__b"]).where((F.col(at) >= F.col("__s")) & (F.col(at) < F.col("__e"))).drop("__b", "__s", "__e")
+
+
+def positions(text: Column) -> Column:
+    """array<struct<token, start>> of the words between white space."""
+
+    def of(pieces: Column) -> Column:
+        placed = F.zip_with(pieces, sums_before(F.transform(pieces, F.length)), lambda p, at: F.struct(p.alias("token"), at.cast("long").alias("start")))
+        return F.filter(placed, lambda x: ~x["token"].rlike(f"^[{WS}]"))
+
+    return bind(F.regexp_extract_all(text, F.lit(f"([^{WS}]+|[{WS}]+)"), F.lit(1)), of)
+
+
 #: A splitter turns (documents, key, text) into the rows above.
 Splitter = Callable[[DataFrame, str, str], DataFrame]

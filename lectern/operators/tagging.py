@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.arrays import bind
 from lectern.functions.features import POS_TAGS
@@ -63,3 +65,28 @@ def tag_shares(sentences: DataFrame, keys: list[str], digits: int = 6) -> DataFr
     """(keys, pos_* shares, pos_entropy, clause_density) of every sentence with a unit, within its row."""
     t = sentences.select(*keys, tags(F.col("sentence")).alias("__t")).where(F.size("__t.tags") > 0)
     return t.select(*keys, *[F.round(c, digits).alias(k) for k, c in syntax(F.col("__t")).items()])
+
+
+@F.pandas_udf(T.DoubleType())
+def dep_depth_mean(heads: pd.Series) -> pd.Series:
+    """Mean distance to the root over the tokens of a sentence, from the index of each token's head (a root is its own head).
+
+    For parsers that deliver heads; 0 without tokens. Indexes outside the sentence and circles count as roots.
+    """
+
+    def one(h) -> float:
+        if h is None or not len(h):
+            return 0.0
+        depth: dict[int, int] = {}
+        for i in range(len(h)):
+            path = []
+            k = i
+            while k not in depth and k not in path and 0 <= h[k] < len(h) and h[k] != k:
+                path.append(k)
+                k = int(h[k])
+            depth.setdefault(k, 0)
+            for n, x in enumerate(reversed(path), 1):
+                depth.setdefault(x, depth[k] + n)
+        return sum(depth[i] for i in range(len(h))) / len(h)
+
+    return pd.Series([one(h) for h in heads])

@@ -122,20 +122,33 @@ def response(analysed: DataFrame, key: str = "doc_id", model_version: str = MODE
 def build_dataset(records: DataFrame, folder: str, version: str, seed: int = 42, holdout_models: tuple[str, ...] = ()) -> DataFrame:
     """Normal form, validity, first-wins deduplication, splits; writes records and manifest and returns the records.
 
-    `records` has the record layout and input_ord. Invalid records are left out and counted in the manifest.
+    `records` has the record layout and input_ord. Invalid records are left out and counted in the manifest. Texts are kept
+    once; deduplication and splits work on ids and hashes.
     """
-    clean = ds.preprocess(records)
-    judged = cut(ds.quarantine(clean))
-    valid = judged.where("violation IS NULL").drop("violation")
-    kept = cut(ds.first_wins(valid))
-    splits = ds.assign_splits(kept, seed, holdout_models).select("essay_id", "new_split")
-    out = cut(kept.drop("split").join(splits, "essay_id").withColumnRenamed("new_split", "split"))
+    judged = cut(ds.quarantine(ds.preprocess(records)))
+    slim = judged.where("violation IS NULL").select("input_ord", "essay_id", "label", "source", "model", "length_words", "original_essay_id", tx.content_hash(F.col("text")).alias("h"))
+    first = slim.groupBy("h").agg(F.min_by(F.struct(*[c for c in slim.columns if c not in ("h", "input_ord")]), "input_ord").alias("r"), F.min("input_ord").alias("input_ord")).select("input_ord", "r.*")
+    first = cut(first)
+    splits = ds.assign_splits(first, seed, holdout_models).select("essay_id", "new_split")
+    kept = first.select("input_ord", "essay_id").join(splits, "essay_id").select("input_ord", "new_split")
+    out = cut(judged.drop("split", "violation").join(kept, "input_ord").withColumnRenamed("new_split", "split"))
     ig.write_dataset(out, folder)
-    n_in, n_bad, n_valid, n_out = records.count(), judged.where("violation IS NOT NULL").count(), valid.count(), out.count()
-    ig.write_manifest(folder, version, ds.manifest_counts(out), {"seed": seed, "ratios": [0.7, 0.15, 0.15], "input": n_in, "invalid": n_bad, "duplicates_removed": n_valid - n_out, "records": n_out})
+    n = judged.agg(F.count_if(F.col("violation").isNotNull()).alias("bad"), F.count_if(F.col("violation").isNull()).alias("valid")).first()
+    n_in, n_out = records.count(), out.count()
+    extra = {"seed": seed, "ratios": [0.7, 0.15, 0.15], "input": n_in, "invalid": n["bad"], "duplicates_removed": n["valid"] - n_out, "records": n_out}
+    ig.write_manifest(folder, version, ds.manifest_counts(out), extra)
     return out
 
 
+def build_version(spark: SparkSession, sources: Sequence[DataFrame], folder: str, version: str, seed: int = 42) -> DataFrame:
+    """A dataset version of raw sources in their order."""
+    return build_dataset(_ordered(ig.concatenate(sources)), folder, version, seed)
+
+
+def _ordered(every: DataFrame) -> DataFrame:
+    return every.select(*[(F.col(f.name) if f.name in every.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ig.RECORD], "input_ord")
+
+
 #: Turns essays (essay_id, text, bucket) into rows (essay_id, sent_idx, bucket, vector) with names of the vector's features.
 Extractor = Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import generation as gen
+from lectern import pipeline as pl
 from lectern.functions import text as tx
 from lectern.operators import dataset as ds
 from lectern.plans import sql
-from lectern.session import read_table
+from lectern.session import read_table, shared_folder
+from lectern.sources import files
+from lectern.sources import ingest as ig
 from lectern.streaming import limiter
 
 Q: dict = {}
@@ -198,20 +204,127 @@ def report_counters(spark, d):
     return essays(spark, d).agg(F.count_if(not_human).alias("not_human"), F.count_if(not_train).alias("not_train"), F.count_if(kept).alias("kept"), F.count_if(kept & (F.col("length_words") > 1024)).alias("too_long"))
 
 
-@query("source_union_all", "SELECT 'essays' AS origin, count(*) AS n, min(input_ord) AS first_ord FROM essays UNION ALL SELECT 'documents', count(*), min(doc_id) + 1000000000000 FROM documents")
+# --- scans and sinks over files that are written from the tables ---------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor reaches."""
+    return files.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _json_lines(spark: SparkSession, d: str) -> str:
+    path = scratch(spark, "lines")
+    x = read_table(spark, d, "documents").orderBy("doc_id")
+    x.select(F.to_json(F.struct(F.col("topic").alias("essay_title"), F.col("text").alias("essay_text"), F.col("source").alias("source_url"), F.col("lang").alias("split")))).coalesce(1).write.text(path)
+    return path
+
+
+_LEAF = "n1 AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM documents)"
+
+
+@query("scan_json_lines", f"""WITH {_LEAF} SELECT 'leaf-' || printf('%05d', i) AS essay_id, text, coalesce(nullif(topic, ''), 'unspecified_topic') AS topic, {sql.words('text')}::INT AS length_words, coalesce(source, '') AS source_url, i - 1 AS input_ord FROM n1 WHERE text IS NOT NULL AND {sql.strip('text')} <> ''""")
+def scan_json_lines(spark, d):
+    r = ig.read_json_lines(spark, _json_lines(spark, d))
+    return r.select("essay_id", "text", "topic", "length_words", F.col("writer_demographics")["source_url"].alias("source_url"), "input_ord")
+
+
+def _json_array(spark: SparkSession, d: str) -> str:
+    path = scratch(spark, "array")
+    x = read_table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("text").alias("Essay"), F.col("source").alias("Source"))).alias("j"))
+    ends = x.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+    rows = x.crossJoin(F.broadcast(ends)).orderBy("doc_id")  # one row
+    rows.select(F.concat(F.when(F.col("doc_id") == F.col("a"), "[").otherwise(","), "j", F.when(F.col("doc_id") == F.col("z"), "]").otherwise(""))).coalesce(1).write.text(path)
+    return path
+
+
+@query("scan_json_array", f"""WITH {_LEAF} SELECT 'viorra-' || printf('%04d', i) AS essay_id, text, coalesce(nullif(source, ''), 'unknown') AS source, {sql.words('text')}::INT AS length_words, i - 1 AS input_ord FROM n1 WHERE text IS NOT NULL AND {sql.strip('text')} <> ''""")
+def scan_json_array(spark, d):
+    return ig.read_json_array(spark, _json_array(spark, d)).select("essay_id", "text", "source", "length_words", "input_ord")
+
+
+@query("source_union_all", f"""WITH {_LEAF}, k AS (SELECT i, coalesce(nullif(source, ''), 'unknown') AS source FROM n1 WHERE text IS NOT NULL AND {sql.strip('text')} <> '')
+    SELECT source, count(*) AS n, min(i) - 1 AS first_ord FROM k GROUP BY source UNION ALL SELECT 'leaf', count(*), 1099511627776 + min(i) - 1 FROM k""")
 def source_union_all(spark, d):
-    a = essays(spark, d).select(F.lit("essays").alias("origin"), F.col("input_ord").alias("o"))
-    b = read_table(spark, d, "documents").select(F.lit("documents").alias("origin"), (F.col("doc_id") + F.lit(10**12)).alias("o"))
-    return a.unionByName(b).groupBy("origin").agg(F.count("*").alias("n"), F.min("o").alias("first_ord"))
+    """Two raw sources in their order as one."""
+    e = ig.concatenate([ig.read_json_array(spark, _json_array(spark, d)), ig.read_json_lines(spark, _json_lines(spark, d))])
+    return e.groupBy("source").agg(F.count("*").alias("n"), F.min("input_ord").alias("first_ord"))
+
+
+@query("dataset_round_trip", "SELECT essay_id, sha256(text) AS content_hash, label, split, length_words, len(preprocessing)::INT AS steps, generation_config.max_tokens AS max_tokens, original_essay_id, count(*) AS n FROM essays GROUP BY ALL")
+def dataset_round_trip(spark, d):
+    """Records written as lines of JSON and read again."""
+    folder = scratch(spark, "dataset")
+    ig.write_dataset(essays(spark, d), folder)
+    r = ig.read_dataset(spark, folder)
+    return r.groupBy("essay_id", F.sha2("text", 256).alias("content_hash"), "label", "split", "length_words", F.when(F.col("preprocessing").isNotNull(), F.size("preprocessing")).alias("steps"), F.col("generation_config.max_tokens").alias("max_tokens"), "original_essay_id").agg(F.count("*").alias("n"))
+
+
+@query("baseline_artifact_round_trip", "SELECT bucket, feature, n, mean_value, std_value, p5, p25, p50, p75, p95 FROM baselines")
+def baseline_artifact_round_trip(spark, d):
+    """Stored distributions written as an artifact, the newest artifact found, and read again."""
+    folder = scratch(spark, "artifact")
+    b = read_table(spark, d, "baselines")
+    counts = b.groupBy("bucket").agg(F.lit(0).cast("long").alias("n_essays"), F.max("n").alias("n_sentences"))
+    ig.write_baselines(folder, "f0", b.limit(0), counts, [])
+    ig.write_baselines(folder, "f1", b, counts, [])
+    return ig.read_baselines(spark, ig.newest(spark, folder, "baselines_f1.json"))
+
+
+@query("dataset_build")
+def dataset_build(spark, d):
+    """A dataset version of the stored essays: normal form, validity, deduplication, splits, files."""
+    return pl.build_dataset(essays(spark, d), scratch(spark, "build"), "v1").select("essay_id", "split", "label", "length_words")
 
 
 # --- generation records -------------------------------------------------------------------------------------------------
 
 
-@query("prompt_template", "SELECT input_ord, replace(replace(prompt_template, '{topic}', topic), '{word_count}', length_words::VARCHAR) AS prompt FROM essays WHERE prompt_template IS NOT NULL AND topic IS NOT NULL")
+_PROMPT = "'Write a college admissions essay on the topic: ' || topic || chr(10) || 'Word count: ' || length_words || ' words' || chr(10) || 'Style: Personal, reflective, authentic voice' || chr(10)"
+
+
+@query("prompt_template", f"SELECT input_ord, config, {_PROMPT} || CASE WHEN config = 'adversarial' THEN chr(10) || 'Write in a natural, human style.' ELSE '' END AS prompt FROM essays, (VALUES ('standard'), ('creative'), ('focused'), ('adversarial')) AS c(config) WHERE topic IS NOT NULL AND length_words IS NOT NULL")
 def prompt_template(spark, d):
-    e = essays(spark, d).where("prompt_template IS NOT NULL AND topic IS NOT NULL")
-    return e.select("input_ord", tx.format_prompt(F.col("prompt_template"), F.col("topic"), F.col("length_words")).alias("prompt"))
+    """The prompt of every configuration for the topic of every record."""
+    e = essays(spark, d).where("topic IS NOT NULL AND length_words IS NOT NULL").select("input_ord", "topic", "length_words", F.explode(F.array(*[F.lit(n) for n in gen.CONFIGS])).alias("config"))
+    return e.select("input_ord", "config", gen.prompt_column(F.col("config"), F.col("topic"), F.col("length_words")).alias("prompt"))
+
+
+@query("config_lookup", "SELECT * FROM (VALUES ('standard', 0.7::DOUBLE, 0.9::DOUBLE, 50, 800), ('creative', 0.9, 0.95, 100, 800), ('focused', 0.3, 0.8, 20, 800), ('adversarial', 0.7, 0.9, 50, 800)) AS c(config, temperature, top_p, top_k, max_tokens)")
+def config_lookup(spark, d):
+    return gen.configs(spark).drop("template")
+
+
+_KNOWN = "(VALUES ('standard', 0.7::DOUBLE), ('creative', 0.9), ('focused', 0.3), ('adversarial', 0.7)) AS c(config, temperature)"
+
+
+@query("remaining_configs", f"SELECT config FROM {_KNOWN} WHERE NOT EXISTS (SELECT 1 FROM essays e WHERE e.generation_config.temperature = c.temperature AND e.generation_config.top_k = 20)")
+def remaining_configs(spark, d):
+    """Configurations that no stored record with a narrow choice of tokens was made with."""
+    done = essays(spark, d).where("generation_config.top_k = 20").select(F.col("generation_config.temperature").alias("temperature"))
+    return gen.remaining(gen.configs(spark).select("config"), gen.configs(spark).join(done, "temperature", "left_semi").select("config"))
+
+
+@query(
+    "generation_resumed",
+    """SELECT 'ai-' || config || '-' || printf('%04d', i) AS essay_id, config, 60 AS length_words, 1 + (i - 1) // 2 AS seed
+    FROM (VALUES ('standard'), ('creative'), ('focused'), ('adversarial')) AS c(config), range(1, 6) AS r(i)""",
+)
+def generation_resumed(spark, d):
+    """A run that breaks off in its third configuration, and the run that goes on from there."""
+    folder = scratch(spark, "generated")
+    topics = [r["topic"] for r in essays(spark, d).where("topic IS NOT NULL").select("topic").distinct().orderBy("topic").limit(2).collect()]  # two topics are what the run is asked for
+
+    def broken(prompts: list[str], settings: dict) -> list[str]:
+        if settings["top_k"] == 20:
+            raise ConnectionError("the generator is gone")
+        return ["word " * 60 for _ in prompts]
+
+    try:
+        gen.generate(spark, broken, topics, 20, folder=folder, batch=2)
+    except ConnectionError:
+        pass
+    records, _ = gen.generate(spark, lambda p, s: ["word " * 60 for _ in p], topics, 20, folder=folder, batch=2)
+    return records.select("essay_id", F.regexp_extract("essay_id", "^ai-([a-z]+)-", 1).alias("config"), "length_words", F.col("generation_config.seed").alias("seed"))
 
 
 @query("prompt_left_join", "SELECT e.input_ord, coalesce(nullif(trim(p.topic), ''), 'unspecified_prompt') AS prompt FROM essays e LEFT JOIN (SELECT essay_id, min(topic) AS topic FROM essays WHERE label = 'human' GROUP BY essay_id) p ON e.original_essay_id = p.essay_id")
@@ -245,6 +358,18 @@ def config_range_check(spark, d):
 # --- caches, artifacts, admission ------------------------------------------------------------------------------------------
 
 
+@query(
+    "error_envelopes",
+    f"""WITH x AS (SELECT doc_id, CASE WHEN text IS NULL OR {sql.strip('text')} = '' THEN 'text must not be empty' WHEN length(text) > 10000 THEN 'text is too long' WHEN len({sql.tokens('text')}) = 0 THEN 'text contains no words' WHEN len({sql.tokens('text')}) > 1024 THEN 'text exceeds the token window of the instrument' END AS message FROM documents)
+    SELECT doc_id, CASE WHEN message IS NULL THEN 200 ELSE 422 END AS status, CASE WHEN message IS NOT NULL THEN 'VALIDATION_ERROR' END AS code, message FROM x""",
+)
+def error_envelopes(spark, d):
+    g = pl.guard(read_table(spark, d, "documents").select("doc_id", "text"))
+    status = F.when(F.col("error").isNull(), 200).otherwise(422)
+    e = g.select("doc_id", status.alias("status"), pl.error_envelope(status, F.col("error")).alias("e"))
+    return e.select("doc_id", "status", "e.code", "e.message")
+
+
 @query("latest_artifact", "SELECT feature_version, arg_max(analysis_id, (analysed_at, analysis_id)) AS analysis_id, max(analysed_at) AS analysed_at FROM analyses GROUP BY feature_version")
 def latest_artifact(spark, d):
     """The newest analysis of each feature version, as one looks up the newest artifact."""
@@ -287,6 +412,22 @@ def rate_limit_admission(spark, d):
     return limiter.admit(read_table(spark, d, "limiter_hits"), limit=_LIMIT, window=_SECONDS).select("client_key", "hit_id", "allowed", "remaining")
 
 
+@query("rate_limit_response", _ADMIT_SQL.replace("SELECT client_key, hit_id, allowed, remaining::INT AS remaining FROM w", f"""SELECT hit_id, CASE WHEN allowed THEN 200 ELSE 429 END AS status, '1.0' AS version, '{_LIMIT}' AS most, remaining::VARCHAR AS remaining, (floor(now_s)::BIGINT + {int(_SECONDS)})::VARCHAR AS reset,
+    CASE WHEN NOT allowed THEN '{int(_SECONDS)}' END AS retry_after, CASE WHEN NOT allowed THEN 'RATE_LIMITED' END AS code FROM w"""))
+def rate_limit_response(spark, d):
+    """Answers to the logged hits: status, headers and, for refused ones, the body."""
+    a = limiter.respond(limiter.admit(read_table(spark, d, "limiter_hits"), limit=_LIMIT, window=_SECONDS), limit=_LIMIT)
+    h = F.col("headers")
+    return a.select("hit_id", "status", h["X-API-Version"].alias("version"), h["X-RateLimit-Limit"].alias("most"), h["X-RateLimit-Remaining"].alias("remaining"), h["X-RateLimit-Reset"].alias("reset"), h["Retry-After"].alias("retry_after"), F.get_json_object("body", "$.error.code").alias("code"))
+
+
+@query("rate_limit_reset", _ADMIT_SQL.replace("PARTITION BY client_key", "PARTITION BY client_key, floor(now_s / 86400)").replace("SELECT client_key, hit_id, now_s, row_number()", "SELECT client_key || '/' || floor(now_s / 86400) AS client_key, hit_id, now_s, row_number()").replace("SELECT client_key, hit_id, allowed, remaining::INT AS remaining FROM w", "SELECT hit_id, allowed, remaining::INT AS remaining FROM w"))
+def rate_limit_reset(spark, d):
+    """Admission where all state is forgotten at the beginning of a day."""
+    h = read_table(spark, d, "limiter_hits")
+    return limiter.admit(h, limit=_LIMIT, window=_SECONDS, epoch=F.floor(F.col("now_s") / 86400)).select("hit_id", "allowed", "remaining")
+
+
 @query("rate_limit_default")
 def rate_limit_default(spark, d):
     """Admission under the default limit, beside the logged decision."""

@@ -15,7 +15,7 @@ from lectern.operators.sentences import split_sentences
 from lectern.operators.vectors import long_values, with_vectors
 from lectern.plans import sql
 from lectern.plans.text_queries import _MATTR
-from lectern.session import cut, read_table
+from lectern.session import cut, read_table, spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -47,7 +47,7 @@ def human_training(spark: SparkSession, d: str) -> DataFrame:
 
 def model_of(spark: SparkSession, d: str) -> CountModel:
     """The count model of all documents."""
-    return CountModel.learn(read_table(spark, d, "documents"))
+    return CountModel.learn(spread(read_table(spark, d, "documents").select("text")))
 
 
 def human_values(spark: SparkSession, d: str, model: CountModel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def reference(spark: SparkSession, d: str, model: CountModel | None = None) -> D
 
 
 def bucketed_docs(spark: SparkSession, d: str, base: DataFrame) -> DataFrame:
-    docs = read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_words")).where("n_words > 0")
+    docs = spread(read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", "text", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_words")).where("n_words > 0")
     return sc.resolve_buckets(docs.withColumn("bucket", tx.length_bucket(F.col("n_words"))), base)
 
 
@@ -218,7 +218,7 @@ def _passage_evidence_sql() -> str:
 @query("passage_evidence", _passage_evidence_sql())
 def passage_evidence(spark, d):
     """Passages with their whole vector, scored on what the stored distributions have of it."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text", tx.length_bucket(tx.word_count(F.col("text"))).alias("baseline_bucket"))
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", tx.length_bucket(tx.word_count(F.col("text"))).alias("baseline_bucket"))
     p = pl.passage_rows(docs.where("text IS NOT NULL"), keep=["baseline_bucket"])
     u = sc.score_rows(p, read_table(spark, d, "baselines"), F.col("values"))
     u = u.withColumns(sc.unit_columns(F.col("signals"), "passage", F.col("passage_idx")))
@@ -269,7 +269,7 @@ _GUARD = f"CASE WHEN text IS NULL OR {sql.strip('text')} = '' THEN 'text must no
 def analysis_documents(spark, d):
     """The analysis of every document as one row: why it was refused, or its counts, sentences, passages and limitations."""
     model = model_of(spark, d)
-    a = pl.analyze(read_table(spark, d, "documents"), reference(spark, d, model), model, digits=6)
+    a = pl.analyze(spread(read_table(spark, d, "documents").select("doc_id", "text")), reference(spark, d, model), model, digits=6)
     return a.select(
         "doc_id", "error", "word_count", "baseline_bucket", F.col("summary.sentence_count").alias("sentence_count"), F.col("summary.high").alias("high"), F.col("summary.medium").alias("medium"),
         F.aggregate(F.transform("sentences", lambda s: s["signal_count"]), F.lit(0).cast("long"), lambda x, y: x + y).alias("flagged"), F.nullif(F.size("passages"), F.lit(-1)).cast("long").alias("passages"), F.nullif(F.size("limitations"), F.lit(-1)).alias("limitations"),

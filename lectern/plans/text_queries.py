@@ -9,11 +9,11 @@ from lectern.functions import text as tx
 from lectern.functions.features import READABILITY, STYLOMETRIC, catalog, sentence_features
 from lectern.operators import language_model as lm
 from lectern.operators.passages import STATISTICS, document_passages, mattr, member_statistics, mtld, passage_array
-from lectern.operators.sentences import sentence_array, split_sentences
-from lectern.operators.tagging import tag_shares
+from lectern.operators.sentences import in_sentences, positions, sentence_array, split_sentences
+from lectern.operators.tagging import dep_depth_mean, tag_shares
 from lectern.operators.vectors import TEXTUAL, long_values, text_vector, with_vectors
 from lectern.plans import sql
-from lectern.session import read_table
+from lectern.session import read_table, spread
 
 #: Statistics of a passage's features; a nudge before rounding keeps ties on one side in both engines.
 STATS = ("mean", "std", "cv", "min", "max", "p5", "p25", "p50", "p75", "p95")
@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +199,29 @@ _UNI = f"""
     uni AS (SELECT *, (SELECT sum(-(p * ln(p))) FROM pr) AS entropy FROM pr)"""
 
 
+@query(
+    "tokens_in_sentences",
+    f"""WITH {sql.sentences()}, pc AS (SELECT doc_id, regexp_extract_all(text, '[^{sql.WS_RE}]+|[{sql.WS_RE}]+') AS p FROM documents WHERE text IS NOT NULL),
+    pu AS (SELECT doc_id, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM pc),
+    pt AS (SELECT doc_id, token, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM pu),
+    j AS (SELECT pt.doc_id, sent_idx::INT AS sent_idx, pos, token FROM pt JOIN sent ON sent.doc_id = pt.doc_id AND pos >= sent.start AND pos < sent."end" WHERE NOT regexp_matches(token, '^[{sql.WS_RE}]'))
+    SELECT doc_id, sent_idx, count(*) AS tokens, min(pos) AS first_at, max(pos) AS last_at FROM j GROUP BY ALL""",
+)
+def tokens_in_sentences(spark, d):
+    """Words by their position in the sentences whose spans hold it."""
+    x = docs(spark, d).where("text IS NOT NULL")
+    t = x.select("doc_id", F.inline(positions(F.col("text")))).withColumnRenamed("start", "at")
+    return in_sentences(t, sentences(spark, d), at="at").groupBy("doc_id", "sent_idx").agg(F.count("*").alias("tokens"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query("dependency_depth", f"WITH {sql.sentences()}, k AS (SELECT doc_id, sent_idx::INT AS sent_idx, len({sql.tokens('sentence')}) AS n FROM sent) SELECT doc_id, sent_idx, round(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range(1, n + 1), lambda i: floor(log2(i))))::DOUBLE / n END, 6) AS dep_depth_mean FROM k")
+def dependency_depth(spark, d):
+    """Depth over heads of a known shape, where token i hangs from token (i - 1) / 2, as a parser would deliver them."""
+    t = sentences(spark, d).select("doc_id", "sent_idx", tx.tokens(F.col("sentence")).alias("t"))
+    heads = F.transform("t", lambda x, i: F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2)).cast("int"))
+    return t.select("doc_id", "sent_idx", r6(dep_depth_mean(heads)).alias("dep_depth_mean"))
+
+
 @query("lm_unigram_model", f"WITH {_UNI} SELECT token, n, round(ln(p), 6) AS log_prob, rank, round(top1, 6) AS top1, round(entropy, 4) AS entropy FROM uni")
 def lm_unigram_model(spark, d):
     m = lm.unigram_model(docs(spark, d))

@@ -1,8 +1,7 @@
-"""Hooks for instruments that are not expressions: sentence and document extractors, text generators, and their registry."""
+"""Hooks for instruments that are not expressions: sentence and document extractors, and their registry."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -11,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import python_tokens
-
 
 class SentenceExtractor(Protocol):
     """Features of single sentences."""
@@ -98,41 +95,3 @@ class Registry:
         if name not in self._items:
             raise KeyError(name)
         self._state[name] = state
-
-
-# Sampling settings by name (temperature, top_p, top_k, max_tokens).
-CONFIGS = {"standard": (0.7, 0.9, 50, 800), "creative": (0.9, 0.95, 100, 800), "focused": (0.3, 0.8, 20, 800), "adversarial": (0.7, 0.9, 50, 800)}
-
-
-def config_for(name: str, seed: int) -> dict:
-    t, p, k, m = CONFIGS[name]
-    return {"temperature": t, "top_p": p, "top_k": k, "max_tokens": m, "seed": seed}
-
-
-def generate(prompts: Sequence[str], batch_fn: Callable[[list[str], dict], list[str]], name: str, quota: int, batch: int = 8, seed: int = 42, attempts: int = 3, words: tuple[int, int] = (50, 700)) -> list[tuple[str, str]]:
-    """(prompt, text) of accepted texts: prompts in turn, in batches, a failed prompt again with the next seed, at most `attempts` times."""
-    queue = [(p, 0) for p in prompts]
-    done: list[tuple[str, str]] = []
-    while queue and len(done) < quota:
-        now, queue = queue[:batch], queue[batch:]
-        texts = batch_fn([p for p, _ in now], config_for(name, seed + max(a for _, a in now)))
-        for (p, a), t in zip(now, texts):
-            if words[0] <= len(t.split()) <= words[1] and len(done) < quota:
-                done.append((p, t))
-            elif a + 1 < attempts:
-                queue.append((p, a + 1))
-    return done
-
-
-def quota_per_config(target: int, configs: int) -> int:
-    return math.ceil(target / configs)
-
-
-class WordExtractor:
-    """A small extractor that shows the protocol: number of tokens of a sentence."""
-
-    name = "words"
-    feature_names = ("n_words",)
-
-    def extract_sentence(self, text: str) -> dict[str, float]:
-        return {"n_words": float(len(python_tokens(text)))}

@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(app: str = "lectern", cpus: int | None = None, **conf: str) -> SparkSession:
-    """A local session for tests and benches; on a cluster the caller brings its own."""
+def get_spark(app: str = "lectern", cpus: int | None = None, checkpoints: str | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benches with its folder for checkpoints; on a cluster the caller brings its own session."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.master(f"local[{n}]").appName(app)
     settings = {
@@ -23,6 +23,8 @@ def get_spark(app: str = "lectern", cpus: int | None = None, **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.dir": checkpoints or os.path.join(tempfile.gettempdir(), f"lectern-{os.getpid()}"),  # one machine
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -31,12 +33,27 @@ def get_spark(app: str = "lectern", cpus: int | None = None, **conf: str) -> Spa
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: where the context already keeps checkpoints, else the one of spark.checkpoint.dir."""
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="lectern-")  # one machine
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; set one only where none is named (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few partitions over all cores before heavy work; tables with a partition for each core at least stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,11 +40,14 @@ def fold(times: list[float], limit: int, window: float, live: list[float] | None
     return out, live[lo:]
 
 
-def admit(hits: DataFrame, key: str = "client_key", time: str = "now_s", order: str = "hit_id", limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:
-    """(order, key, time, allowed, remaining, reset_s) of every hit with a key and a time; repeated deliveries count once."""
+def admit(hits: DataFrame, key: str = "client_key", time: str = "now_s", order: str = "hit_id", limit: int = LIMIT, window: float = WINDOW_S, epoch: Column | None = None) -> DataFrame:
+    """(order, key, time, allowed, remaining, reset_s) of every hit with a key and a time; repeated deliveries count once.
+
+    All state is forgotten where `epoch` changes: hits of different epochs share none.
+    """
     if limit < 1 or window <= 0:
         raise ValueError("limit is 1 at least, the window positive")
-    h = hits.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(order, key, time).dropDuplicates([order])
+    h = hits.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(order, key, time, (epoch if epoch is not None else F.lit(0)).cast("long").alias("__epoch")).dropDuplicates([order])
     h = _quiet_runs(h, key, time, order, window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,13 +77,30 @@ def admit(hits: DataFrame, key: str = "client_key", time: str = "now_s", order:
 def _quiet_runs(h: DataFrame, key: str, time: str, order: str, window: float, slice_s: float = 3600.0) -> DataFrame:
     """Adds __run, the time of the first hit after the last gap of a whole window; hours of a key are worked on apart."""
     h = h.withColumn("__slice", F.floor(F.col(time) / slice_s))
-    w, over = W.partitionBy(key, "__slice").orderBy(time, order), W.partitionBy(key).orderBy("__slice")
-    ends = h.groupBy(key, "__slice").agg(F.max(time).alias("__hi")).withColumn("__before", F.lag("__hi").over(over)).drop("__hi")
-    h = h.withColumn("__prev", F.lag(time).over(w)).join(ends, [key, "__slice"])
+    at = [key, "__epoch", "__slice"]
+    w, over = W.partitionBy(*at).orderBy(time, order), W.partitionBy(key, "__epoch").orderBy("__slice")
+    ends = h.groupBy(*at).agg(F.max(time).alias("__hi")).withColumn("__before", F.lag("__hi").over(over)).drop("__hi")
+    h = h.withColumn("__prev", F.lag(time).over(w)).join(ends, at)
     fresh = F.coalesce(F.col(time) - F.coalesce("__prev", "__before") >= window, F.lit(True))
     h = h.withColumn("__start", F.when(fresh, F.col(time))).withColumn("__own", F.max("__start").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    carried = h.groupBy(key, "__slice").agg(F.max("__start").alias("__last")).withColumn("__carry", F.max("__last").over(over.rowsBetween(W.unboundedPreceding, -1))).select(key, "__slice", "__carry")
-    return h.join(carried, [key, "__slice"]).select(order, key, time, F.coalesce("__own", "__carry").alias("__run"))
+    carried = h.groupBy(*at).agg(F.max("__start").alias("__last")).withColumn("__carry", F.max("__last").over(over.rowsBetween(W.unboundedPreceding, -1))).select(*at, "__carry")
+    run = F.concat_ws("/", "__epoch", F.coalesce("__own", "__carry"))
+    return h.join(carried, at).select(order, key, time, run.alias("__run"))
+
+
+# Version named in every answer, and the message of a refusal.
+API_VERSION, REFUSED = "1.0", "Rate limit exceeded, please retry later."
+
+
+def respond(admitted: DataFrame, time: str = "now_s", limit: int = LIMIT) -> DataFrame:
+    """Adds status (200 or 429), the map of headers and, for refused hits, the body of the answer."""
+    refused = ~F.col("allowed")
+    retry = F.greatest(F.col("reset_s") - F.floor(time), F.lit(0)).cast("string")
+    common = [("X-API-Version", F.lit(API_VERSION)), ("X-RateLimit-Limit", F.lit(str(limit))), ("X-RateLimit-Remaining", F.col("remaining").cast("string")), ("X-RateLimit-Reset", F.col("reset_s").cast("string"))]
+    names = F.create_map(*[x for k, v in common for x in (F.lit(k), v)])
+    headers = F.when(refused, F.map_concat(names, F.create_map(F.lit("Retry-After"), retry))).otherwise(names)
+    body = F.when(refused, F.to_json(F.struct(F.struct(F.lit("RATE_LIMITED").alias("code"), F.lit(REFUSED).alias("message")).alias("error"))))
+    return admitted.withColumns({"status": F.when(refused, 429).otherwise(200), "headers": headers, "body": body})
 
 
 def admit_stream(hits: DataFrame, key: str = "client_key", time: str = "now_s", order: str = "hit_id", limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:

@@ -97,6 +97,45 @@ def test_scans(spark, tmp_path):
     assert [r["essay_id"][:2] for r in every.orderBy("input_ord").collect()] == ["vi", "vi", "le", "le", "gh", "gh"]
 
 
+def test_lines_of_many_splits_are_numbered(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"line {i}\n" if i % 7 else "\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        rows = {r["pos"]: r["line"] for r in ig.numbered_lines(spark, str(tmp_path / "x.txt")).collect()}
+        assert spark.read.text(str(tmp_path / "x.txt")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == {i: f"line {i}" if i % 7 else "" for i in range(5000)}
+
+
+def test_manifest_counts_unknown_names_together(spark, tmp_path):
+    e = essays(spark, [human(str(i), label=f"label {i}") for i in range(1500)] + [human("h")])
+    ig.write_manifest(str(tmp_path), "v1", ds.manifest_counts(e), {})
+    m = json.loads((tmp_path / "manifest.json").read_text())
+    assert m["counts_by_label"] == {"human": 1, "other": 1500} and m["counts_by_split"] == {"": 1501}
+
+
+def test_ranks_by_ranges_are_the_ranks(spark):
+    rows = [(f"e{i}", "hot" if i % 3 else None) for i in range(9500)]
+    got = ds.ranked(spark.createDataFrame(rows, "essay_id string, k string"), ["k"], 7).toPandas()
+    import hashlib
+
+    for k, n in (("hot", 6333), (None, 3167)):
+        mine = got[got.k == "hot"] if k else got[got.k.isna()]
+        order = sorted(mine.essay_id, key=lambda i: hashlib.sha256(f"7:{i}".encode()).hexdigest())
+        assert len(mine) == n and [*mine.sort_values("__r").essay_id] == order and set(mine["__r"]) == set(range(1, n + 1)) and set(mine["__n"]) == {n}
+
+
+def test_answers_of_the_limiter(spark):
+    df = spark.createDataFrame([(i, "k", 100.5 + i) for i in range(3)], "hit_id long, client_key string, now_s double")
+    rows = limiter.respond(limiter.admit(df, limit=2, window=60.0), limit=2).orderBy("hit_id").collect()
+    assert [r["status"] for r in rows] == [200, 200, 429] and rows[0]["headers"] == {"X-API-Version": "1.0", "X-RateLimit-Limit": "2", "X-RateLimit-Remaining": "1", "X-RateLimit-Reset": "160"}
+    assert rows[2]["headers"]["Retry-After"] == "60" and json.loads(rows[2]["body"])["error"]["code"] == "RATE_LIMITED" and rows[0]["body"] is None
+    again = limiter.admit(df, limit=2, window=60.0, epoch=F.when(F.col("hit_id") < 2, 0).otherwise(1)).orderBy("hit_id").collect()
+    assert [r["allowed"] for r in again] == [True, True, True]
+
+
 def test_dataset_round_trip(spark, tmp_path):
     e = essays(spark, [human("b", "a b\u0085c", writer_demographics={"k": "v"}), human("a")])
     ig.write_dataset(e, str(tmp_path))

@@ -4,10 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import tokens, two_decimals
 from lectern.operators import baselines as bl
 from lectern.operators import scoring as sc
-from lectern.operators.language_model import sentence_signals, token_signals, unigram_model
-from lectern.operators.passages import aggregate_features, build_passages, factor_count, mattr, mtld, mtld_fold
+from lectern.operators.language_model import CountModel, sentence_signals, token_signals, unigram_model
+from lectern.operators.passages import STATISTICS, aggregate_features, build_passages, document_passages, factor_count, mattr, mtld, statistics
 
 
 def sents(spark, n, segments=None):
@@ -43,11 +44,33 @@ def test_factor_counts():
     assert factor_count([str(i) for i in range(100)]) == pytest.approx(1 / 0.72)
 
 
-def test_mtld_and_its_fold_agree(spark):
+def test_mtld_is_the_mean_of_both_directions(spark):
     rng = random.Random(3)
     rows = [([rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))],) for _ in range(40)]
-    out = spark.createDataFrame(rows, "t array<string>").select(mtld(F.col("t")).alias("a"), mtld_fold(F.col("t")).alias("b")).collect()
-    assert all(r["a"] == pytest.approx(r["b"], abs=1e-12) for r in out)
+    out = spark.createDataFrame(rows, "t array<string>").select("t", mtld(F.col("t")).alias("a")).collect()
+    assert all(r["a"] == pytest.approx((factor_count(r["t"]) + factor_count(r["t"][::-1])) / 2) for r in out)
+
+
+def test_passages_within_the_row_are_those_of_the_windows(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(rng.choice(["One two. ", "Three!\n\n", "Four? ", "five ", "\n\nSix. "]) for _ in range(rng.randint(0, 30)))) for i in range(30)] + [(99, None)], "doc_id int, text string")
+    from lectern.operators.sentences import split_sentences
+
+    for stride in (1, 2):
+        for bounded in (True, False):
+            got = {(r["doc_id"], tuple(r["sentence_indices"]), r["text"]) for r in document_passages(docs, stride=stride, bounded=bounded).collect()}
+            assert got == {(r["doc_id"], tuple(r["sentence_indices"]), r["text"]) for r in build_passages(split_sentences(docs), stride=stride, bounded=bounded).collect()}
+
+
+def test_statistics_within_the_row(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-3, 3) for _ in range(rng.randint(1, 7))]) for i in range(20)]
+    df = spark.createDataFrame(rows, "feature string, v array<double>")
+    got = {r["feature"]: r["s"] for r in df.select("feature", statistics(F.col("v")).alias("s")).collect()}
+    for r in aggregate_features(df.select("feature", F.explode("v").alias("value")), []).collect():
+        assert [got[r["feature"]][n] for n in STATISTICS] == pytest.approx([r[n] for n in STATISTICS], abs=1e-9)
+    zero = spark.range(1).select(statistics(F.array(F.lit(1.0), F.lit(-1.0))).alias("s")).first()["s"]
+    assert zero["cv"] is None and zero["mean"] == 0.0
 
 
 def test_mattr(spark):
@@ -92,11 +115,14 @@ def test_score(spark):
 
 def test_units(spark):
     base = spark.createDataFrame([("s", "a", 0.0, 1.0), ("s", "b", 0.0, 1.0), ("s", "c", 0.0, 0.0)], BASE)
-    vals = spark.createDataFrame([(0, "s", "b", 2, 2.5), (0, "s", "a", 1, -2.5), (1, "s", "a", 1, 0.1), (2, "s", "c", 3, 5.0)], "sent_idx int, baseline_bucket string, feature string, ordinal int, value double")
-    u = {r["sent_idx"]: r for r in sc.units(spark.range(4).select(F.col("id").cast("int").alias("sent_idx")), sc.score(vals, base, ["sent_idx"]), ["sent_idx"]).collect()}
-    assert (u[0]["evidence_strength"], u[0]["top_feature"], u[0]["flagged"]) == ("high", "a", 2)  # ties keep the order of features
+    nan = float("nan")
+    rows = spark.createDataFrame([(0, "s", [-2.5, 2.5, None]), (1, "s", [0.1, nan, None]), (2, "s", [None, None, 5.0]), (3, "s", [None, None, None]), (4, "none", [9.0, 9.0, 9.0])], "sent_idx int, baseline_bucket string, vector array<double>")
+    scored = sc.score_rows(rows, base, sc.named_values(F.col("vector"), ("a", "b", "c")))
+    u = {r["sent_idx"]: r for r in scored.withColumns(sc.unit_columns(F.col("signals"), "sentence", F.col("sent_idx"))).collect()}
+    assert (u[0]["evidence_strength"], u[0]["top_feature"], u[0]["signal_count"], u[0]["scored_count"]) == ("high", "a", 2, 2)  # ties keep the order of features
     assert u[0]["summary"] == "sentence 0: 2 of 2 scored features show machine-like signals (top: a lower than the human baseline)"
-    assert (u[1]["evidence_strength"], u[2]["evidence_strength"], u[3]["evidence_strength"]) == ("low", "low", "uncertain")
+    assert (u[1]["evidence_strength"], u[1]["signal_count"], u[1]["scored_count"]) == ("low", 0, 1)
+    assert [u[i]["evidence_strength"] for i in (2, 3, 4)] == ["low", "uncertain", "uncertain"]
 
 
 def test_fallback(spark):
@@ -113,6 +139,29 @@ def test_summary_text(spark):
     assert r["b"].endswith("uncertain because baseline variance unavailable")
 
 
+def test_two_decimals_of_exact_values(spark):
+    rng = random.Random(7)
+    values = [0.125, 0.375, -0.125, 2.675, 1.005, 0.0, -0.0, 1e-9, -1e-9, 99.995, 1234567.125, 0.5, 3e15, *(rng.randint(-(10**6), 10**6) / 8 for _ in range(300)), *(rng.uniform(-1000, 1000) for _ in range(300))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [f"{r['v']:.2f}" for r in rows]
+
+
+def test_count_model_of_fixed_size(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, None)], "doc_id int, text string")
+    m = CountModel.learn(docs)
+    s = spark.createDataFrame([(0, "a b"), (1, "b zz"), (2, "!")], "sent_idx int, sentence string")
+    rows = {r["sent_idx"]: r["v"] for r in s.select("sent_idx", m.signals(tokens(F.col("sentence")), F.col("sent_idx") == 0).alias("v")).collect()}
+    assert rows[0][3] == pytest.approx(math.log(2 / 5), abs=1e-5) and rows[0][5] == 1.0  # the first token is unscored
+    assert rows[1][3] == pytest.approx((math.log(2 / 5) + math.log(1 / 5)) / 2, abs=1e-5) and rows[1][5] == 1.5
+    assert rows[2] == [0.0] * 8
+
+
+def test_frequent_tokens_join_like_the_others(spark):
+    docs = spark.createDataFrame([(1, " ".join(["the"] * 900 + [f"w{i}" for i in range(400)]))], "doc_id int, text string")
+    s = spark.createDataFrame([(1, 1, "the w1 w2 the unseen")], "doc_id int, sent_idx int, sentence string")
+    assert token_signals(s, unigram_model(docs), ["doc_id", "sent_idx"]).count() == 4
+
+
 def test_count_model(spark):
     docs = spark.createDataFrame([(1, "a a b")], "doc_id int, text string")
     m = {r["token"]: r for r in unigram_model(docs).collect()}

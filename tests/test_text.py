@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.features import CATALOG, ORDER, catalog, readability, sentence_features, status, stylometric, unpivot
+from lectern.functions.features import CATALOG, ORDER, catalog, family, readability, sentence_features, status, stylometric, unpivot
 from lectern.operators.sentences import split_sentences
-from lectern.operators.tagging import tag_shares
+from lectern.operators.tagging import dep_depth_mean, tag_shares
 
 
 def one(spark, text, **cols):
@@ -45,11 +45,28 @@ def test_readability_formulas(spark):
     assert r["gunning_fog"] == pytest.approx(0.4)
 
 
+def test_readability_of_a_long_sentence(spark):
+    r = feats(spark, "The quiet student carefully reviewed the lengthy essay before submitting it to the university admissions office on Tuesday.")
+    assert r["ari"] == pytest.approx(15.3066667, abs=1e-6) and r["coleman_liau"] == pytest.approx(16.3888889, abs=1e-6)
+
+
+def test_readability_counts_words_between_blanks_and_letters_of_any_script(spark):
+    a, b = feats(spark, "well-known émigrés left"), feats(spark, "wellknown emigres left")
+    assert a["coleman_liau"] == b["coleman_liau"] and a["gunning_fog"] == b["gunning_fog"]
+    assert feats(spark, "`tick`")["punct_density"] == 0.0
+
+
 def test_no_words_gives_zero(spark):
-    r = feats(spark, "नमस्ते।")
+    r = feats(spark, "... !")
     assert r["flesch_reading_ease"] == 0.0 and r["sent_len"] == 0.0
 
 
+def test_long_documents_keep_their_positions(spark):
+    text = "Ab c. " * 1500
+    rows = split_sentences(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len(rows) == 1500 and all(r["start"] == 6 * r["sent_idx"] for r in rows)
+
+
 @pytest.mark.parametrize("n,b", [(0, "short"), (199, "short"), (200, "standard"), (499, "standard"), (500, "long"), (799, "long"), (800, "xlong"), (5000, "xlong"), (-1, "xlong")])
 def test_buckets(spark, n, b):
     assert spark.range(1).select(tx.length_bucket(F.lit(n)).alias("b")).first()["b"] == b
@@ -90,6 +107,15 @@ def test_unpivot_drops_what_cannot_be_compared(spark):
     assert [(r["k"], r["feature"], r["value"]) for r in rows] == [(1, "ttr", 1.0)]
 
 
+def test_families():
+    assert [family(n) for n in ("sent_len", "lexical_recurrence", "punct_density", "self_similarity", "coherence_prev", "clause_density")] == ["lexical", "repetition", "rhythm", "repetition", "contextual", "syntax"]
+
+
+def test_depth_over_heads(spark):
+    df = spark.createDataFrame([([1, 1, 1],), ([0, 0, 1, 2],), ([],), ([1, 0],), ([9],)], "h array<int>")
+    assert [r[0] for r in df.select(dep_depth_mean("h")).collect()] == pytest.approx([2 / 3, 6 / 4, 0.0, 0.5, 0.0])
+
+
 def test_catalog(spark):
     assert len(ORDER) == 40 and status("hdd") == "planned"
     with pytest.raises(KeyError):
