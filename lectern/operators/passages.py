@@ -105,9 +105,9 @@ def member_statistics(indices: Column, vectors: Column, names: Sequence[str]) ->
     return bind(F.transform(indices, lambda i: vectors[i]), of)
 
 
-def passage_values(features: Column, mattr_: Column, mtld_: Column) -> Column:
+def passage_values(features: Column | None, mattr_: Column, mtld_: Column) -> Column:
     """array<struct<feature, ordinal, value>> of a passage: <feature>_<statistic> for all, then mattr and mtld."""
-    each = F.flatten(F.transform(features, lambda f: F.array(*[F.struct(F.concat(f["feature"], F.lit(f"_{n}")).alias("feature"), f["s"][n].alias("value")) for n in STATISTICS])))
+    each = F.array().cast("array<struct<feature:string,value:double>>") if features is None else F.flatten(F.transform(features, lambda f: F.array(*[F.struct(F.concat(f["feature"], F.lit(f"_{n}")).alias("feature"), f["s"][n].alias("value")) for n in STATISTICS])))
     both = F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in (("mattr", mattr_), ("mtld", mtld_))])
     return F.transform(F.concat(each, both), lambda x, i: F.struct(x["feature"].alias("feature"), (i + 1).alias("ordinal"), x["value"].alias("value")))
 

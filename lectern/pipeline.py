@@ -13,7 +13,7 @@ from lectern.operators import baselines as bl
 from lectern.operators import dataset as ds
 from lectern.operators import scoring as sc
 from lectern.operators.language_model import CountModel
-from lectern.operators.passages import mattr, member_statistics, mtld_of_each, passage_array, passage_values
+from lectern.operators.passages import STATISTICS, mattr, member_statistics, mtld_of_each, passage_array, passage_values
 from lectern.operators.sentences import Splitter, sentence_array, split_sentences
 from lectern.operators.vectors import ALL, TEXTUAL, long_values, text_vector, with_vectors
 from lectern.session import cut
@@ -29,8 +29,11 @@ def sentence_matrix(docs: DataFrame, key: str = "doc_id", splitter: Splitter = s
     return with_vectors(splitter(docs, key, "text"), model, digits)
 
 
-def _document(docs: DataFrame, key: str, keep: Sequence[str], model: CountModel | None, digits: int | None, window: int, stride: int) -> DataFrame:
-    """(key, columns to keep, s: sentences, v: their vectors, p: passages with their values), all within the row of a document."""
+def _document(docs: DataFrame, key: str, keep: Sequence[str], model: CountModel | None, digits: int | None, window: int, stride: int, known: set[str] | None = None) -> DataFrame:
+    """(key, columns to keep, s: sentences, v: their vectors, p: passages with their values), all within the row of a document.
+
+    With `known`, only statistics of features that one of these names belongs to are made.
+    """
     d = docs.select(key, *keep, sentence_array(F.col("text")).alias("s"))
     d = d.withColumn("p", passage_array(F.col("s"), window, stride))
     d = d.withColumn("lists", F.transform("p", lambda p: tx.tokens(p["text"])))
@@ -41,16 +44,27 @@ def _document(docs: DataFrame, key: str, keep: Sequence[str], model: CountModel
         v = F.zip_with(v, "lm", lambda a, b: F.concat(a, b))
     d = d.withColumn("v", v)
     names = ALL if model is not None else TEXTUAL
-    values = F.transform("p", lambda p, i: F.struct(
-        p["passage_idx"].alias("passage_idx"), p["sentence_indices"].alias("sentence_indices"), p["text"].alias("text"),
-        passage_values(member_statistics(p["sentence_indices"], F.col("v"), names), mattr(F.col("lists")[i]), F.col("mtld")[i]).alias("values"),
-    ))
-    return d.select(key, *keep, "s", "v", values.alias("p"))
+    wanted = [(n, i) for i, n in enumerate(names) if known is None or any(f"{n}_{x}" in known for x in STATISTICS)]
+
+    def passages(x: Column) -> Column:  # bound once: inside the inner function a column would be computed for every passage
+        vectors = F.transform(x["v"], lambda v: F.array(*[v[i] for _, i in wanted])) if known is not None and wanted else x["v"]
+        own = [n for n, _ in wanted]
+
+        def with_vectors_(vs: Column) -> Column:
+            return F.transform(x["p"], lambda p, i: F.struct(
+                p["passage_idx"].alias("passage_idx"), p["sentence_indices"].alias("sentence_indices"), p["text"].alias("text"),
+                passage_values(member_statistics(p["sentence_indices"], vs, own) if own else None, mattr(x["lists"][i]), x["mtld"][i]).alias("values"),
+            ))
+
+        return bind(vectors, with_vectors_)
+
+    return d.select(key, *keep, "s", "v", bind(F.struct("p", "v", "lists", "mtld"), passages).alias("p"))
 
 
-def passage_rows(docs: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), model: CountModel | None = None, digits: int | None = None, window: int = 3, stride: int = 1) -> DataFrame:
+def passage_rows(docs: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), model: CountModel | None = None, digits: int | None = None, window: int = 3, stride: int = 1, known: set[str] | None = None) -> DataFrame:
     """(key, columns to keep, passage_idx, sentence_indices, text, values) of the passages of every document; no shuffle."""
-    return _document(docs, key, keep, model, digits, window, stride).select(key, *keep, F.inline("p"))
+    p = _document(docs, key, keep, model, digits, window, stride, known)
+    return p.select(key, *keep, F.inline_outer("p")).where("passage_idx IS NOT NULL")  # the inner form would make them twice, to look for empty arrays
 
 
 # What is said of a text that cannot be analysed.
@@ -84,7 +98,8 @@ def analyze(
     text = F.when(F.col("error").isNull(), F.col("text"))
     g = g.withColumn("text", text).withColumn("word_count", F.size(tx.tokens(text)).cast("long")).withColumn("bucket", tx.length_bucket(F.col("word_count")))
     g = sc.resolve_buckets(g.withColumn("word_count", F.when(F.col("error").isNull(), F.col("word_count"))).withColumn("bucket", F.when(F.col("error").isNull(), F.col("bucket"))), baselines)
-    d = _document(g, key, ["error", "word_count", "bucket", "baseline_bucket"], model, digits, window, stride)
+    known = {r["feature"] for r in baselines.select("feature").distinct().collect()}  # names of features
+    d = _document(g, key, ["error", "word_count", "bucket", "baseline_bucket"], model, digits, window, stride, known)
     none = F.create_map().cast("map<string,struct<mean:double,std:double>>")
     d = d.join(F.broadcast(sc.stats_by_bucket(baselines)), "baseline_bucket", "left").withColumn("stats", F.coalesce("stats", none))
     names = ALL if model is not None else TEXTUAL

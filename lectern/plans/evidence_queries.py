@@ -41,7 +41,7 @@ _HFEAT = f"WITH {_HUMAN}, {sql.sentences('hum', 'essay_id')}, {sql.vectors('essa
 
 def human_training(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "essays").where((F.col("label") == "human") & (F.col("split") == "train") & F.col("text").isNotNull())
-    e = e.groupBy("essay_id").agg(F.min_by("text", "input_ord").alias("text"))
+    e = e.repartition(spark.sparkContext.defaultParallelism, "essay_id").groupBy("essay_id").agg(F.min_by("text", "input_ord").alias("text"))  # few rows with much work each
     return e.withColumn("n_words", tx.word_count(F.col("text"))).where("n_words > 0").select("essay_id", "text", tx.length_bucket(F.col("n_words")).alias("bucket"))
 
 
@@ -155,7 +155,8 @@ def scored_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    return scored_sentences(spark, d).select("doc_id", "sent_idx", F.inline("signals"))
+    s = scored_sentences(spark, d).select("doc_id", "sent_idx", F.inline_outer("signals"))  # the inner form would score twice, to look for empty arrays
+    return s.where("feature IS NOT NULL")
 
 
 @query("zscore_signals", f"{_SIGNALS} SELECT doc_id, sent_idx, feature, round(value, 6) AS value, round(z + 1e-9, 4) AS z_score, evidence FROM sigl")
@@ -219,8 +220,10 @@ def _passage_evidence_sql() -> str:
 def passage_evidence(spark, d):
     """Passages with their whole vector, scored on what the stored distributions have of it."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", tx.length_bucket(tx.word_count(F.col("text"))).alias("baseline_bucket"))
-    p = pl.passage_rows(docs.where("text IS NOT NULL"), keep=["baseline_bucket"])
-    u = sc.score_rows(p, read_table(spark, d, "baselines"), F.col("values"))
+    base = read_table(spark, d, "baselines")
+    known = {r["feature"] for r in base.select("feature").distinct().collect()}  # names of features
+    p = pl.passage_rows(docs.where("text IS NOT NULL"), keep=["baseline_bucket"], known=known)
+    u = sc.score_rows(p, base, F.col("values"))
     u = u.withColumns(sc.unit_columns(F.col("signals"), "passage", F.col("passage_idx")))
     return u.select("doc_id", "passage_idx", "scored_count", "signal_count", "evidence_strength", F.round(F.get(F.col("signals"), F.lit(0))["z_score"] + 1e-9, 4).alias("top_z"))
 
