@@ -70,16 +70,16 @@ class Runs:
 
     def redundancy(self) -> tuple[float, float]:
         """Bits that the entropy of the runs stays below that of different ones, and the share of characters that as many bits may repeat at most."""
-        n, m = len(self.sizes), len(self.runs)
-        if m < 1:
+        n, k = len(self.sizes), self.k
+        if not self.runs:
             return 0.0, 1.0
-        sums = [0, *accumulate(self.sizes)]
-        weight: dict[tuple, int] = {}
-        for i, r in enumerate(self.runs):
-            weight.setdefault(r, sums[i + self.k] - sums[i])
         counts = Counter(self.runs)
-        whole = sum(c * weight[r] for r, c in counts.items())
-        bits = sum(c * weight[r] * math.log2(c) for r, c in counts.items() if c > 1) / whole
+        if len(counts) == len(self.runs):
+            return 0.0, 0.0
+        sums = [0, *accumulate(self.sizes)]
+        whole = sum(sums[k:]) - sum(sums[: n - k + 1])
+        first = {r: i for i, r in reversed([*enumerate(self.runs)]) if counts[r] > 1}
+        bits = sum(counts[r] * (sums[i + k] - sums[i]) * math.log2(counts[r]) for r, i in first.items()) / whole
         return bits, bits * whole / (2 * sums[n])
 
     def share(self) -> float:

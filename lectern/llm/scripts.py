@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 _CLASSES = {
     "thai": "฀-๿",
@@ -24,13 +26,21 @@ _UNIT = re.compile("[" + _CLASSES["thai"] + _CLASSES["japanese"] + _CLASSES["han
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+@lru_cache(maxsize=100_000)
+def _script(c: str) -> str | None:
+    return next((k for k, r in _COUNTERS.items() if r.match(c)), None)
+
+
 def script_of(text: str | None) -> str:
     """The script most letters of a text belong to; 'none' without letters. Kana decide against Han."""
     if not text:
         return "none"
     if text.isascii():
         return "latin" if re.search("[A-Za-z]", text) else "none"
-    n = {k: len(r.findall(text)) for k, r in _COUNTERS.items()}
+    n = dict.fromkeys(_COUNTERS, 0)
+    for c, k in Counter(text).items():
+        if script := _script(c):
+            n[script] += k
     best = max(n, key=lambda k: n[k])
     if not n[best]:
         return "none"

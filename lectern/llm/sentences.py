@@ -186,7 +186,8 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     counts[got["kind"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["n"]
     kind = F.when(t.rlike("[぀-ヿ一-鿿]"), "unspaced").when(thai, "thai").otherwise("spaced")
     pieces = F.when(kind == "thai", F.split(t, "\\s+")).otherwise(F.split(t, "[.!?…।؟][\"”»’)]{0,2}\\s+|[。！？]|\\n\\s*\\n"))
-    sizes = marked.select(kind.alias("kind"), F.explode(F.transform(pieces, lambda p: F.length(F.trim(p)))).alias("n")).where("n > 1")
+    # the kind of a text is told once, below the explode, not for each of its pieces
+    sizes = marked.select(kind.alias("kind"), F.transform(pieces, lambda p: F.length(F.trim(p))).alias("sizes")).select("kind", F.explode_outer("sizes").alias("n")).where("n > 1")
     # abbreviations leave short pieces, so the spread is that above the middle
     rows = sizes.groupBy("kind").agg(F.percentile_approx("n", [0.5, 0.84], 1000).alias("q"), F.count("*").alias("k")).collect()  # three rows
     lengths = {r["kind"]: (math.log(r["q"][0]), max(LEAST_SPREAD, math.log(r["q"][1] / r["q"][0]))) for r in rows if r["k"] >= 30}
