@@ -127,7 +127,7 @@ def assign(essays: DataFrame, splits: dict[str, float] | None = None, shard: int
 
     spark = essays.sparkSession
     small = vectors.where(F.col("size") <= max(1, total // 1000))
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("family_id"), F.lit(shards))).groupBy("shard").applyInPandas(place, schema) if rest or not big else spark.createDataFrame([], schema)
+    dealt = small.withColumn("shard", F.pmod(F.xxhash64("family_id"), F.lit(shards))).repartition(2 * shards, "shard").groupBy("shard").applyInPandas(place, schema) if rest or not big else spark.createDataFrame([], schema)
     first = spark.createDataFrame([(k, s) for k, s in placed.items()], schema)
     out = lookup(fam, dealt.unionByName(first), "family_id")
     return out.select("essay_id", "family_id", F.col("new_split"), F.col("split").alias("stored_split"), "family_size", (F.col("family_splits") > 1).alias("torn"))

@@ -206,7 +206,7 @@ def containers(documents: DataFrame, settings: DataFrame, folder: str = FOLDER,
         return pd.concat(out)[schema_names] if out else pd.DataFrame({c: [] for c in schema_names})
 
     schema_names = [c.split()[0] for c in schema.split(", ")]
-    return d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
+    return d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(2 * shards, "shard").groupBy("shard").applyInPandas(run, schema)  # few rows with much work: not for adaptive merging
 
 
 def fill_report(packed: DataFrame, settings: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def shared_intervals(documents: DataFrame, least: int = LEAST, k: int = K) -> Da
         return pd.DataFrame({"route": pdf["route"].to_numpy()[seg], "name": pdf["name"].to_numpy()[seg], "lo": up - base, "hi": down - base - 1 + least})
 
     asked = one.join(open_.select("route"), "route", "left_semi").withColumn("shard", F.pmod(F.col("route"), F.lit(shards)))
-    found = asked.groupBy("shard").applyInPandas(search, "route bigint, name bigint, lo bigint, hi bigint")
+    found = asked.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(search, "route bigint, name bigint, lo bigint, hi bigint")
     equal = one.where("a <> b").select("route", "name", F.lit(0).cast("bigint").alias("lo"), F.length("segment").cast("bigint").alias("hi"))
     found = found.unionByName(equal)
     where = segs.select("route", "name", "doc_id", "text", "start")
