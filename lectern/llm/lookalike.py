@@ -72,18 +72,27 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def form_sql(column: str) -> str:
+#: Polytonic Greek: its many accented letters are only looked for in texts that have one.
+_POLYTONIC = (0x1F00, 0x1FFF)
+FEW = {c: r for c, r in JOINED.items() if not _POLYTONIC[0] <= ord(c) <= _POLYTONIC[1]}
+
+
+def form_sql(column: str, joined: dict[str, str] = JOINED) -> str:
     """The form of a text as one DuckDB expression."""
     x = f"regexp_replace({column}, {_q('[' + INVISIBLE + ']')}, '', 'g')"
     x = f"translate({x}, {_q(FROM)}, {_q(TO)})"
-    for c, r in JOINED.items():
+    for c, r in joined.items():
         x = f"replace({x}, {_q(c)}, {_q(r)})"
     for half, mark in (("ﾞ", "゙"), ("ﾟ", "゚")):
         x = f"replace({x}, {_q(half)}, {_q(mark)})"
     return f"nfc_normalize({x})"
 
 
-_ASCII_FAST = f"CASE WHEN regexp_full_match({{0}}, '[\\x00-\\x7f]*') THEN {{0}} ELSE {form_sql('{0}')} END"
+_ASCII_FAST = (
+    f"CASE WHEN regexp_full_match({{0}}, '[\\x00-\\x7f]*') THEN {{0}} WHEN regexp_matches({{0}}, '[{chr(_POLYTONIC[0])}-{chr(_POLYTONIC[1])}]') THEN {form_sql('{0}')} ELSE {form_sql('{0}', FEW)} END"
+)
+#: Rows that DuckDB works on at once.
+ROWS = 1000
 
 
 def _connection():
@@ -105,7 +114,7 @@ def canonical(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = None
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             con = con or _connection()
             batch = pa.table({"t": b.column(k)})  # noqa: F841  DuckDB reads it by name
             con.register("batch", batch)

@@ -114,6 +114,7 @@ SAME = [
     ("Ａｂｃ １２", "Abc 12"), ("café", "café"), ("sym­bol​", "symbol"), ("a b c", "a b c"), ("Giﬁt", "Gifit"), ("Тhе рrоjесt", "The project"),
     ("ｶﾞｷ", "ガキ"), ("Αnna", "Anna"), ("ёlka", "ëlka"),
     ("άλλος ύπνος ίδιος ό", "α\u0301λλος υ\u0301πνος ι\u0301διος ο\u0301"), ("ў и й ѐ", "у\u0306 и и\u0306 е\u0300"), ("ά", "á"),
+    ("ἄλλος ᾧ Ἀθῆναι", "α\u0313\u0301λλος ω\u0314\u0342\u0345 Α\u0313θη\u0342ναι"),
 ]
 OTHER = [("a  b", "a b"), ("a\nb", "a b"), ("Abc", "abc"), ("cafe", "café"), ("a b.", "a b"), ("1", "2"), ("“a”", '"a"')]
 
