@@ -98,6 +98,7 @@ def analyze(
     text = F.when(F.col("error").isNull(), F.col("text"))
     g = g.withColumn("text", text).withColumn("word_count", F.size(tx.tokens(text)).cast("long")).withColumn("bucket", tx.length_bucket(F.col("word_count")))
     g = sc.resolve_buckets(g.withColumn("word_count", F.when(F.col("error").isNull(), F.col("word_count"))).withColumn("bucket", F.when(F.col("error").isNull(), F.col("bucket"))), baselines)
+    g = g.withColumn("baseline_bucket", F.when(F.col("error").isNull(), F.col("baseline_bucket")))
     known = {r["feature"] for r in baselines.select("feature").distinct().collect()}  # names of features
     d = _document(g, key, ["error", "word_count", "bucket", "baseline_bucket"], model, digits, window, stride, known)
     none = F.create_map().cast("map<string,struct<mean:double,std:double>>")
@@ -113,7 +114,7 @@ def analyze(
 
     sentences = F.zip_with("s", "v", lambda s, v: unit([s["sent_idx"].alias("index"), s["start"].alias("start"), s["end"].alias("end"), s["sentence"].alias("text")], sc.named_values(v, names), "sentence", s["sent_idx"]))
     passages = F.transform("p", lambda p: unit([p["sentence_indices"].alias("sentence_indices")], p["values"], "passage", p["passage_idx"]))
-    d = d.select(key, "error", "word_count", "bucket", "baseline_bucket", sentences.alias("sentences"), passages.alias("passages"))
+    d = d.select(key, "error", "word_count", "bucket", "baseline_bucket", *[F.when(F.col("error").isNull(), c).alias(n) for n, c in (("sentences", sentences), ("passages", passages))])
     n = lambda x: F.size(F.filter("sentences", lambda s: s["evidence_strength"] == x)).cast("long")
     counts = [n(x).alias(x) for x in ("high", "medium", "low", "uncertain")]
     summary = F.struct(F.size("sentences").cast("long").alias("sentence_count"), (n("high") + n("medium")).alias("signal_sentences"), *counts)

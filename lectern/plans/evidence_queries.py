@@ -159,9 +159,9 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return s.where("feature IS NOT NULL")
 
 
-@query("zscore_signals", f"{_SIGNALS} SELECT doc_id, sent_idx, feature, round(value, 6) AS value, round(z + 1e-9, 4) AS z_score, evidence FROM sigl")
+@query("zscore_signals", f"{_SIGNALS} SELECT doc_id, sent_idx, feature, round(value, 6) AS value, round(z + 1e-9, 4) + 0.0::DOUBLE AS z_score, evidence FROM sigl")
 def zscore_signals(spark, d):
-    return signals(spark, d).select("doc_id", "sent_idx", "feature", F.round("value", 6).alias("value"), F.round(F.col("z_score") + 1e-9, 4).alias("z_score"), "evidence")
+    return signals(spark, d).select("doc_id", "sent_idx", "feature", F.round("value", 6).alias("value"), (F.round(F.col("z_score") + 1e-9, 4) + F.lit(0.0)).alias("z_score"), "evidence")
 
 
 @query("signal_direction", f"{_SIGNALS} SELECT feature, direction, evidence, count(*) AS n FROM sigl GROUP BY ALL")
@@ -275,7 +275,7 @@ def analysis_documents(spark, d):
     a = pl.analyze(spread(read_table(spark, d, "documents").select("doc_id", "text")), reference(spark, d, model), model, digits=6)
     return a.select(
         "doc_id", "error", "word_count", "baseline_bucket", F.col("summary.sentence_count").alias("sentence_count"), F.col("summary.high").alias("high"), F.col("summary.medium").alias("medium"),
-        F.aggregate(F.transform("sentences", lambda s: s["signal_count"]), F.lit(0).cast("long"), lambda x, y: x + y).alias("flagged"), F.nullif(F.size("passages"), F.lit(-1)).cast("long").alias("passages"), F.nullif(F.size("limitations"), F.lit(-1)).alias("limitations"),
+        F.aggregate(F.transform("sentences", lambda s: s["signal_count"]), F.lit(0).cast("long"), lambda x, y: x + y).alias("flagged"), F.when(F.col("error").isNull(), F.size("passages")).cast("long").alias("passages"), F.when(F.col("error").isNull(), F.size("limitations")).alias("limitations"),
     )
 
 

@@ -29,7 +29,7 @@ def test_build_and_baselines_and_analysis(spark, data, tmp_path):
     a = pl.analyze(docs, base, essays_behind=7)
     rows = {r["doc_id"]: r for r in a.collect()}
     assert [rows[i]["error"] for i in range(1, 7)] == [None, pl.EMPTY, pl.EMPTY, pl.LONG, pl.NO_WORDS, pl.WINDOW]
-    assert rows[1]["summary"]["sentence_count"] == 3 and len(rows[1]["limitations"]) >= 5 and rows[1]["sentences"][0]["scored_count"] == 31 and rows[2]["summary"] is None
+    assert rows[1]["summary"]["sentence_count"] == 3 and len(rows[1]["limitations"]) >= 5 and rows[1]["sentences"][0]["scored_count"] == 31 and rows[2]["summary"] is rows[2]["passages"] is rows[2]["baseline_bucket"] is None
     assert rows[1]["passages"][0]["sentence_indices"] == [0, 1, 2] and rows[1]["passages"][0]["evidence_strength"] == "uncertain" and rows[1]["passages"][0]["signals"] == []
     s = rows[1]["sentences"][0]["signals"][0]
     assert s["summary"].startswith(f"{s['feature']}: {s['value']:.2f} (human baseline: ") and "7 human admissions essays" in rows[1]["limitations"][2]
