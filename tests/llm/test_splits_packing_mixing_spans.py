@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 from itertools import combinations, permutations
 
 import numpy as np
 import pytest
 
-from lectern.llm import fm_index, packing
+from lectern.llm import cross_split, fm_index, packing
 from lectern.llm.components import components
 from lectern.llm.cross_split import EVALUATION, lcs, least, overlaps, words
 from lectern.llm.grouped_split import assign, broken_families, stratify
@@ -119,6 +120,61 @@ def test_overlaps_are_all_found(spark):
     assert overlaps(df.limit(0)).count() == 0
 
 
+def _worn(rng, n, least_words, most_words):
+    """Pairs of a text of a worn-out vocabulary and an edited copy of it, as lists of numbers."""
+    weights = [1 / (i + 3) for i in range(250)]
+    for _ in range(n):
+        base = rng.choices(range(250), weights, k=rng.randint(least_words, most_words))
+        keep = rng.choice([1.0, 0.9, 0.85])
+        yield base, [w if rng.random() > 0.05 else rng.randrange(250) for w in base if rng.random() < keep]
+
+
+@pytest.mark.parametrize("lengths", [(2, 40), (90, 160), (480, 560)])
+def test_frequent_words_meet_in_pairs(lengths):
+    """All that overlaps meets and passes the parities, at both levels of a length; few others do, though every word is in many texts."""
+    rng = random.Random(5)
+    texts = [x for p in _worn(rng, 60, *lengths) for x in p if x]
+    n = np.array([len(x) for x in texts])
+    of, toks = cross_split.tokens(np.array([w for x in texts for w in x], np.int64) * 0x123456789ABCDE7, n)
+    counts = np.bincount(toks & (1 << cross_split.SKETCH_BITS) - 1, minlength=1 << cross_split.SKETCH_BITS)
+
+    def at(level):
+        t, k, seen = cross_split.keys(of, toks, n, level, counts, 3)
+        assert (seen <= len(texts)).all()
+        return [set(k[t == i].tolist()) for i in range(len(n))], cross_split.parities(of, toks, level)
+
+    own = cross_split._level(n)
+    sides = {d: at(np.maximum(own + d, 0)) for d in (-1, 0, 1)}
+    met = others = passed = 0
+    for i, j in permutations(range(len(n)), 2):
+        t = least(max(n[i], n[j]))
+        if min(n[i], n[j]) < max(t, 2):
+            continue
+        keys, flips = sides[own[j] - own[i]]  # i probes at the level of j
+        meets = bool(keys[i] & sides[0][0][j])
+        same_bits = int(np.bitwise_count((flips[i] ^ sides[0][1][j]).view(np.uint64)).sum()) <= n[i] + n[j] - 2 * t
+        if lcs(texts[i], texts[j]) >= t:
+            assert meets and same_bits
+            met += 1
+        elif (Counter(texts[i]) & Counter(texts[j])).total() * 5 < 3 * max(n[i], n[j]):
+            others += 1
+            passed += meets and same_bits
+    assert met > 20 and passed * 20 <= others
+
+
+def test_overlaps_of_a_worn_vocabulary(spark):
+    """Every word is frequent and dealt over salts; the pairs are those of brute force."""
+    rng = random.Random(9)
+    rows = []
+    for i, (a, b) in enumerate(_worn(rng, 70, 2, 150)):
+        rows += [(f"t{i}", " ".join(f"w{w}" for w in a), "train"), (f"v{i}", " ".join(f"w{w}" for w in b), "val")]
+    df = spark.createDataFrame(rows, "essay_id string, text string, split string").selectExpr("*", "'s' AS source", "NULL AS model")
+    side = {s: {i: words(t) for i, t, x in rows if x == s and t} for s in ("train", "val")}
+    want = {(a, b) for a, x in side["train"].items() for b, y in side["val"].items() if lcs(x, y) >= least(max(len(x), len(y)))}
+    assert len(want) > 20
+    assert {(r["train_id"], r["eval_id"]) for r in overlaps(df, per_salt=3, frequent=2).collect()} == want
+
+
 def test_overlaps_apart_from_case_of_any_script(spark):
     """Copies made here, so nothing is asked of words()."""
     texts = {
