@@ -162,6 +162,17 @@ def test_frequent_words_meet_in_pairs(lengths):
     assert met > 20 and passed * 20 <= others
 
 
+def test_alike_is_the_longest_common_subsequence():
+    """With repeated, edited and shuffled words; a programme that cannot come to enough stops."""
+    rng = random.Random(3)
+    for a, b in _worn(rng, 400, 1, 80):
+        b = rng.sample(b, len(b)) if rng.random() < 0.2 else b
+        whole, need = lcs(a, b), least(max(len(a), len(b)))
+        assert cross_split.alike(np.array(a, np.int64), np.array(b, np.int64)) == (whole >= need)
+        assert all((lcs(a, b, k) >= k) == (whole >= k) for k in range(1, len(a) + 2))
+    assert lcs([*range(200)], [*range(300, 400), *range(100, 200)], 160) == 0  # the second half is not read
+
+
 def test_overlaps_of_a_worn_vocabulary(spark):
     """Every word is frequent and dealt over salts; the pairs are those of brute force."""
     rng = random.Random(9)
