@@ -393,3 +393,37 @@ def test_hot_passage_meets_across_cut_blocks(spark, monkeypatch):
         rows += [(100 + i, passage + own + word(rng.choice([0, 60]))), (200 + i, word(rng.randint(20, 90)) + passage + own + word(rng.choice([0, 60])))]
     got = {r["doc_id"]: r["shared_chars"] for r in shared_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == covered(rows, 150)
+
+
+def test_overlaps_broadcast_and_collect_nothing_that_grows(spark, monkeypatch):
+    """Tables that are sized far too low are not broadcast, and the counts reach the driver as a few packed blocks."""
+    seen = []
+    real = cross_split.cut
+
+    def spy(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(cross_split, "cut", spy)
+    texts = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(30)) for i in range(40)]
+    rows = [(f"e{i}", t, "train" if i % 2 else "test", "s", None) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        o = overlaps(spark.createDataFrame(rows, "essay_id string, text string, split string, source string, model string"))
+        plans = [*seen, o._jdf.queryExecution().executedPlan().toString()]
+        assert all("BroadcastHashJoin" not in x for x in plans)
+        assert sum(x.count("SortMergeJoin") for x in plans) >= 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    words_ = [[1, 2, 2, 3], [2, 3, 1 << 40]]
+    counts = cross_split._counts(spark.createDataFrame([(w,) for w in words_], "words array<long>").repartition(2))
+    of, toks = cross_split.tokens(np.array(sum(words_, []), np.int64), np.array([4, 3]))
+    assert counts.dtype == np.int32 and counts.tolist() == np.bincount(toks & (1 << cross_split.SKETCH_BITS) - 1, minlength=1 << cross_split.SKETCH_BITS).tolist()
+    got = []
+    frame = type(spark.range(1))
+    for name in ("collect", "toPandas"):
+        f = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, *a, _f=f: got.append(_f(self, *a)) or got[-1])
+    wide = spark.range(200).selectExpr("transform(sequence(0, 499), x -> xxhash64(id, x) & 9223372036854775807) AS words")
+    cross_split._counts(wide)
+    assert sum(map(len, got)) <= (1 << cross_split.SKETCH_BITS) // 4096
