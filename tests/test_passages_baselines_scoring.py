@@ -9,6 +9,7 @@ from lectern.operators import baselines as bl
 from lectern.operators import scoring as sc
 from lectern.operators.language_model import CountModel, sentence_signals, token_signals, unigram_model
 from lectern.operators.passages import STATISTICS, aggregate_features, build_passages, document_passages, factor_count, mattr, mtld, statistics
+from lectern.operators.sentences import split_sentences
 
 
 def sents(spark, n, segments=None):
@@ -171,3 +172,16 @@ def test_count_model(spark):
     rows = {r["sent_idx"]: r for r in sentence_signals(s, token_signals(s, unigram_model(docs), keys), keys).collect()}
     assert rows[0]["log_prob_mean"] == pytest.approx(math.log(2 / 5)) and rows[0]["perplexity"] == pytest.approx(2.5)
     assert rows[1]["perplexity"] == 0.0
+
+
+def test_exploded_tokens_are_not_broadcast(spark):
+    """Tokens are sized as their texts, far too low; only frequent tokens and single rows go by broadcast."""
+    d = spark.createDataFrame([("a", "One two three. Two three four five."), ("b", "Three one. Six!")], "doc_id string, text string")
+    s, keys = split_sentences(d), ["doc_id", "sent_idx"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        g = sentence_signals(s, token_signals(s, unigram_model(d), keys), keys)
+        assert g._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+        assert g.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
