@@ -20,7 +20,7 @@ ODD = [
 ]
 
 #: Queries that are made of whole batches.
-BATCHED = ["analysis_documents"]
+BATCHED = ["analysis_documents", "limitations_text"]
 
 
 @pytest.fixture(scope="module")
