@@ -20,7 +20,7 @@ ODD = [
 ]
 
 #: Queries that are made of whole batches.
-BATCHED = ["analysis_documents", "limitations_text"]
+BATCHED = ["analysis_documents", "limitations_text", "zscore_signals"]
 
 
 @pytest.fixture(scope="module")
