@@ -20,7 +20,7 @@ ODD = [
 ]
 
 #: Queries that are made of whole batches.
-BATCHED = ["analysis_documents", "limitations_text", "zscore_signals", "evidence_level_counts", "sentence_evidence_scored"]
+BATCHED = ["analysis_documents", "limitations_text", "zscore_signals", "evidence_level_counts", "sentence_evidence_scored", "signal_direction"]
 
 
 @pytest.fixture(scope="module")
